@@ -38,8 +38,7 @@ def explode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint32), np.zeros(1, np.int64)
     offsets = _offsets(texts)
     data = texts.buffers()[2]
-    raw = (data.to_pybytes() if data is not None and data.size < 1 else memoryview(data)[offsets[0] : offsets[-1]]) if data is not None else b""
-    raw = bytes(raw)
+    raw = b"" if data is None else data[offsets[0] : offsets[-1]].to_pybytes()
     cps = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(cps) == len(raw):
         return cps, offsets - offsets[0]
