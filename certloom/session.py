@@ -32,10 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
     at = spark.conf.get(CHECKPOINT_CONF, None)
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "certloom-shared")
-        spark.conf.set(CHECKPOINT_CONF, at)
-    return at.rstrip("/")
+    return (at or "file://" + os.path.join(tempfile.gettempdir(), "certloom-shared")).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -13,8 +13,8 @@ lookup: a join of the deliveries' keys with the history of kept messages. It als
 kept twice because they had expired, and keys whose smallest identifier did not arrive first.
 
 Cases: only ``certificate_update`` rows take part. Null fields of the key equal only null. Serials and
-fingerprints compare as hexadecimal numbers. A repeated msg_id counts once. Null delivery times count as
-the epoch. Empty tables give no rows. Only the named columns are read.
+fingerprints compare as hexadecimal numbers. A repeated msg_id counts once. Rows without a delivery time
+count as too late, so the lookup answers them. Empty tables give no rows. Only the named columns are read.
 """
 
 import posixpath
