@@ -125,23 +125,36 @@ def with_parts(df: DataFrame, rules: SuffixRules, allowed: frozenset[str] = froz
         side = F.broadcast(facts.select(F.col("name").alias(f"_name{k}"), F.col("bits").alias(f"_bits{k}")))
         df = df.join(side, F.when(n >= k, last_labels(fqdn, k)) == F.col(f"_name{k}"), "left")
         at.append(F.coalesce(f"_bits{k}", F.lit(0)))
-    size, hit = F.lit(0), F.lit(False)
+    rule = [F.lit(False)]
+    for k in range(1, longest + 2):
+        plain = at[k].bitwiseAND(PLAIN) != 0 if k <= longest else F.lit(False)
+        rule.append(plain | ((n >= k) & (at[k - 1].bitwiseAND(WILD) != 0)))
+
+    def chosen(exempt, matched, otherwise: Column) -> Column:
+        """One value by the winning rule of k labels: an exception first, then the longest rule."""
+        out = None
+        for k in range(longest, 0, -1):
+            test, value = at[k].bitwiseAND(EXEMPT) != 0, exempt(k)
+            out = F.when(test, value) if out is None else out.when(test, value)
+        for k in range(longest + 1, 0, -1):
+            out = out.when(rule[k], matched(k))
+        return out.otherwise(otherwise)
+
+    # each part reads the choice once, so that filters on it are pushed down without growing
+    size = chosen(lambda k: F.lit(k - 1), lambda k: F.lit(k), F.lit(0))
+    taken = chosen(lambda k: F.lit(k), lambda k: F.when(n > k, k + 1).otherwise(0), F.lit(0))
+    above = chosen(lambda k: n - k, lambda k: n - k - 1, F.when(fqdn.rlike(IPV4), 0).otherwise(n - 1))
+    hit = F.lit(False)
     for k in range(1, longest + 1):
-        rule = (at[k].bitwiseAND(PLAIN) != 0) | ((n >= k) & (at[k - 1].bitwiseAND(WILD) != 0))
-        size = F.when(rule, k).otherwise(size)
         hit = hit | (at[k].bitwiseAND(ALLOWED) != 0)
-    size = F.when((n > longest) & (at[longest].bitwiseAND(WILD) != 0), longest + 1).otherwise(size)
-    for k in range(1, longest + 1):
-        size = F.when(at[k].bitwiseAND(EXEMPT) != 0, k - 1).otherwise(size)
-    df = df.withColumn("_size", size).withColumn("is_allowed", hit)
-    known, size = F.col("_size") > 0, F.col("_size")
-    name = F.when(known & (n > size), _labels_from(fqdn, -(size + 1))).otherwise("")
-    df = df.withColumn("suffix", F.when(known, _labels_from(fqdn, -size)).otherwise(""))
-    df = df.withColumn("registrable", F.when(F.startswith(name, F.lit(".")), "").otherwise(name))
-    below = F.when(known, size + 1).otherwise(1)
-    df = df.withColumn("subdomain", F.when((n > below) & ~(~known & fqdn.rlike(IPV4)), _labels_from(fqdn, n - below)).otherwise(""))
-    df = df.withColumn("core", F.when(F.col("registrable") == "", "").otherwise(F.substring_index("registrable", ".", 1)))
-    return df.drop("_size", *(f"_{w}{k}" for k in range(1, longest + 1) for w in ("name", "bits")))
+    df = df.withColumns({
+        "is_allowed": hit,
+        "suffix": _labels_from(fqdn, -size),
+        "registrable": F.regexp_replace(_labels_from(fqdn, -taken), r"^\..*", ""),
+        "subdomain": _labels_from(fqdn, F.greatest(above, F.lit(0))),
+    })
+    df = df.withColumn("core", F.substring_index("registrable", ".", 1))
+    return df.drop(*(f"_{w}{k}" for k in range(1, longest + 1) for w in ("name", "bits")))
 
 
 def with_names(df: DataFrame, host: str, rules: SuffixRules, allowed: frozenset[str] = frozenset()) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from certloom.functions.psl import with_fqdn, with_names, with_parts
 from certloom.operators.context import FAMILY_RULES, DetectContext
 from certloom.operators.rules import family_rule, reasons, typo_cores, with_mixed
+from certloom.session import materialise, widen
+
+#: The cores that are near a brand are broadcast up to this many.
+BROADCAST_ROWS = 200_000
 
 
 def is_wildcard(host: Column) -> Column:
@@ -36,7 +40,9 @@ def with_rule_inputs(events: DataFrame, ctx: DetectContext) -> DataFrame:
     names = with_mixed(names) if ctx.on("E-01") else names.withColumn("is_mixed", F.lit(False))
     names = with_parts(names, ctx.suffixes, ctx.allowlist).where("not is_allowed")
     if ctx.on("R-03") and ctx.brands:
-        hits = typo_cores(named_hosts(events.select("domains"), ctx).select("core"), ctx.brands).withColumn("is_typo", F.lit(True))
+        hits = materialise(typo_cores(named_hosts(events.select("domains"), ctx).select("core"), ctx.brands), "typos").withColumn("is_typo", F.lit(True))
+        if hits.count() <= BROADCAST_ROWS:  # from the files' footers; beyond it both sides are shuffled by core
+            hits = F.broadcast(hits)
         return names.join(hits, "core", "left").withColumn("is_typo", F.coalesce("is_typo", F.lit(False)))
     return names.withColumn("is_typo", F.lit(False))
 
@@ -46,7 +52,7 @@ def detect(events: DataFrame, ctx: DetectContext, skip_wildcards: bool = True) -
 
     The same function serves batch reads and the micro-batches of a stream.
     """
-    events = strip_wildcards(events) if skip_wildcards else events
+    events = widen(strip_wildcards(events) if skip_wildcards else events)
     rest = [c for c in events.columns if c != "domains"]
     names = with_rule_inputs(events, ctx)
     for f in FAMILY_RULES:

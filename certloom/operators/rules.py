@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from certloom.functions.psl import label_array, tokens
 from certloom.operators.context import FAMILY_RULES, DetectContext
+from certloom.session import parallelism
 
 #: Tokens that look like a top-level domain inside a label.
 TLD_LIKE = ("com", "net", "org", "info", "biz", "co", "io", "gov", "edu")
@@ -137,6 +138,7 @@ def typo_cores(cores: DataFrame, brands: frozenset[str]) -> DataFrame:
     spark = cores.sparkSession
     usable = sorted(b for b in brands if b)
     rows = cores.select("core").where((F.length("core") > SHORTEST_CORE) & ~_among(F.col("core"), brands)).distinct()
+    rows = rows.repartition(parallelism(spark))  # narrow, but each row is expanded some 75 times below
     if not usable:
         return rows.where("false")
     lengths = sorted({len(b) for b in usable})

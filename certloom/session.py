@@ -54,3 +54,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads rows over all task slots where the input has fewer splits than those (a few small files).
+
+    Inputs of any size have more splits than slots and pass as they are: no shuffle is added to them.
+    """
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() < slots else df
