@@ -1,4 +1,7 @@
-"""Command line: ``python -m certloom.cli watch``. Flags win over the configuration file, which wins over defaults."""
+"""Command line: ``python -m certloom.cli watch | kpis | tail | build-watchlist``.
+
+For ``watch``, flags win over the configuration file, which wins over defaults.
+"""
 
 import argparse
 import logging
@@ -41,7 +44,17 @@ def load_config(path: str | Path = CONFIG) -> RunConfig:
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="certloom")
-    watch = p.add_subparsers(dest="command", required=True).add_parser("watch", help="read certificates and write detections")
+    commands = p.add_subparsers(dest="command", required=True)
+    kpi = commands.add_parser("kpis", help="figures of a replay: totals, different hosts, top sources, detections")
+    kpi.add_argument("path")
+    kpi.add_argument("--top", type=int, default=15)
+    tail = commands.add_parser("tail", help="show the records of a growing output folder")
+    tail.add_argument("folder")
+    tail.add_argument("--from-start", action="store_true")
+    build = commands.add_parser("build-watchlist", help="write a watchlist from a seed and a ranking")
+    for name in ("seed", "ranking", "output"):
+        build.add_argument(name)
+    watch = commands.add_parser("watch", help="read certificates and write detections")
     watch.add_argument("--config", default=CONFIG)
     watch.add_argument("--source", help="certstream or fixtures")
     for name in ("certstream-url", "watchlist", "rules-config", "output", "fixtures-path"):
@@ -113,9 +126,52 @@ def watch(run: RunConfig, spark=None) -> int:
     return n
 
 
+def kpis(spark, path: str, top: int) -> str:
+    """Figures of a replay as text; detection runs without brands and terms, wildcards stripped."""
+    from certloom.operators import kpis as figures
+    from certloom.operators.context import DetectContext
+    from certloom.operators.detect import detect, strip_wildcards
+    from certloom.sources import messages
+
+    events = messages.to_events(messages.read_messages(spark, path))
+    fed, unique = figures.feed_totals(events).first(), figures.distinct_hosts(events).first()
+    lines = [f"certs:   {fed.n_certs}", f"domains: {fed.n_domains} total, {unique.n_unique} unique", f"by source (top {top}):"]
+    lines += [f"  {r.source or '?':<45} {r.n_certs:>8} {r.percent:5.1f} %" for r in figures.top_sources(events, top).collect()]
+    plain = strip_wildcards(events)
+    found = figures.detection_totals(plain, detect(plain, DetectContext(), skip_wildcards=False)).first()
+    lines.append(f"detections without lists: {found.n_reasons} ({found.percent_of_domains:.2f} % of domains)")
+    return "\n".join(lines)
+
+
+def build_watchlist(spark, seed: str, ranking: str, output: str) -> dict[str, int]:
+    """Writes the watchlist file; returns the number of brands by sector. A ranking may be a zip archive."""
+    from certloom.operators import watchlist
+
+    if ranking.endswith(".zip"):
+        ranking = str(watchlist.unpack_ranking(ranking, ranking.removesuffix(".zip") + ".csv"))
+    entries = watchlist.build(yaml.safe_load(Path(seed).read_text(encoding="utf-8")) or {}, watchlist.read_ranking(spark, ranking))
+    watchlist.write_yaml(entries, output)
+    return {s: sum(e["sector"] == s for e in entries) for s in watchlist.SECTORS}
+
+
 def main(argv: list[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO, stream=sys.stderr)
-    watch(settings(sys.argv[1:] if argv is None else argv))
+    argv = sys.argv[1:] if argv is None else argv
+    args = _parser().parse_args(argv)
+    if args.command == "watch":
+        watch(settings(argv))
+        return
+    from certloom.session import build_session
+    from certloom.streaming import tail
+
+    spark = build_session(args.command)
+    if args.command == "kpis":
+        print(kpis(spark, args.path, args.top))
+    elif args.command == "tail":
+        tail.follow(spark, args.folder, from_start=args.from_start).awaitTermination()
+    else:
+        for sector, n in build_watchlist(spark, args.seed, args.ranking, args.output).items():
+            print(f"{sector:12} {n}")
 
 
 if __name__ == "__main__":

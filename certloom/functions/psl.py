@@ -165,8 +165,3 @@ def with_names(df: DataFrame, host: str, rules: SuffixRules, allowed: frozenset[
 def tokens(name: Column) -> Column:
     """Non-empty pieces between dots and hyphens."""
     return F.filter(F.split(name, "[.-]+"), lambda t: t != "")
-
-
-def label_array(df_fqdn: Column) -> Column:
-    """All labels; none for the empty name; empty labels inside a name stay."""
-    return F.when(df_fqdn == "", F.array().cast("array<string>")).otherwise(F.split(df_fqdn, r"\."))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certloom.functions.psl import label_array, tokens
+from certloom.functions.psl import tokens
 from certloom.operators.context import FAMILY_RULES, DetectContext
 from certloom.session import parallelism
 
@@ -192,6 +192,3 @@ def with_mixed(df: DataFrame) -> DataFrame:
     odd = F.col("fqdn").rlike(r"[^\x00-\x7F]|(^|\.)xn--")
     df = df.withColumn("is_mixed", F.lit(False))
     return df.where(~odd).unionByName(df.where(odd).mapInArrow(_mixed, df.schema))
-
-
-__all__ = ["family_rule", "label_array", "mixes_scripts", "predicates", "reasons", "typo_cores", "with_mixed"]

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.functions.psl import tokens, with_names
+from certloom.functions.psl import load_rules, tokens, with_names
 from certloom.operators import kpis, rules, watchlist
 from certloom.operators.context import FAMILY_RULES, RULES, DetectContext, context_of_table
 from certloom.operators.detect import detect, detection_records, explode_hosts, named_hosts, raw_records, strip_wildcards, with_rule_inputs
@@ -52,23 +52,23 @@ def san_explode(spark, d):
 
 
 def names_split(spark, d):
-    return with_names(explode_hosts(_hosts(spark, d)), "domain", _context(spark, d).suffixes).select(
+    return with_names(explode_hosts(_hosts(spark, d)), "domain", load_rules()).select(
         "event_id", "pos", "fqdn", F.col("n_labels").cast("int").alias("n_labels"), "suffix", "registrable", "subdomain"
     )
 
 
 def psl_suffix(spark, d):
-    names = with_names(explode_hosts(_hosts(spark, d)), "domain", _context(spark, d).suffixes)
+    names = with_names(explode_hosts(_hosts(spark, d)), "domain", load_rules())
     return names.groupBy("suffix").agg(F.count("*").alias("n"))
 
 
 def registrable_core(spark, d):
-    names = with_names(explode_hosts(_hosts(spark, d)), "domain", _context(spark, d).suffixes)
+    names = with_names(explode_hosts(_hosts(spark, d)), "domain", load_rules())
     return names.groupBy("core").agg(F.count("*").alias("n"))
 
 
 def tokenize(spark, d):
-    names = with_names(explode_hosts(_hosts(spark, d)), "domain", _context(spark, d).suffixes)
+    names = with_names(explode_hosts(_hosts(spark, d)), "domain", load_rules())
     return names.select(F.explode(tokens(F.col("fqdn"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -148,7 +148,7 @@ def kpi_landmarks(spark, d):
 def kpi_detection_without_lists(spark, d):
     """Detection figures of a bounded run that knows no brands and no terms."""
     events = strip_wildcards(_hosts(spark, d))
-    found = detect(events, DetectContext(rules=WITHOUT_E01, suffixes=_context(spark, d).suffixes), skip_wildcards=False)
+    found = detect(events, DetectContext(rules=WITHOUT_E01, suffixes=load_rules()), skip_wildcards=False)
     return kpis.detection_totals(events, found).withColumn("percent_of_domains", F.round("percent_of_domains", 6))
 
 

@@ -1,14 +1,15 @@
 import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from certloom import cli
 from certloom.operators import watchlist
-from certloom.operators.context import make_context
+from certloom.operators.context import make_context, read_watchlist
 from certloom.sources import live, messages
-from certloom.streaming import detection
+from certloom.streaming import detection, tail
 from tests.test_detection import SUFFIXES
 
 
@@ -113,3 +114,28 @@ def test_sector_patterns_equal_their_definition(spark):
 
     got = spark.createDataFrame([(x,) for x in labels], "x string").select("x", watchlist.sector_of(F.col("x")).alias("s")).collect()
     assert all(g.s == plain(g.x) for g in got)
+
+
+def test_other_commands(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_text("\n".join(json.dumps(m) for m in (message(), message(all_domains=["login-x.com", "xn--80ak6aa92e.com"]))))
+    text = cli.kpis(spark, str(tmp_path / "f.jsonl"), 3)
+    assert "certs:   2" in text and "4 total, 3 unique" in text and "unknown" in text and "detections without lists: 1 " in text
+    (tmp_path / "seed.yml").write_text("banking:\n  us:\n    chase: [chase.com]\n")
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("top.csv", "1,foo-bank.de\n2,x.com\n3\n4, Klinik.fr\n")
+    counts = cli.build_watchlist(spark, str(tmp_path / "seed.yml"), str(tmp_path / "r.zip"), str(tmp_path / "w.yml"))
+    assert counts == {"banking": 2, "health": 1, "insurance": 0, "it_services": 0}
+    assert [n for n, _ in read_watchlist(tmp_path / "w.yml")] == ["chase", "foo-bank", "klinik"]
+
+
+def test_tail(spark, tmp_path):
+    (tmp_path / "o/batch=0").mkdir(parents=True)
+    detection_line = {"detected_at": "2026-01-02T03:04:05.000000+00:00", "source": "log", "serial_number": "1", "domain": "a.com", "families": ["lexical"], "rules": ["L-04", "M-01"]}
+    raw = {"detected_at": "2026-01-02T03:04:06.000000+00:00", "source": "log", "serial_number": "1", "domains": ["a.com", "b.com"]}
+    (tmp_path / "o/batch=0/p.json").write_text(json.dumps(detection_line) + "\n{bad\n" + json.dumps(raw) + "\n")
+    for start, n in ((True, 2), (False, 0)):
+        lines = []
+        tail.follow(spark, str(tmp_path / "o"), lines.append, start, {"availableNow": True}).awaitTermination()
+        assert len(lines) == n
+        if lines:
+            assert lines[0].startswith("03:04:05  L-04,M-01") and "a.com, b.com" in lines[1]
