@@ -36,7 +36,10 @@ def _hosts(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def src_parse(spark, d):
-    return messages.to_events(table(spark, d, "raw_messages"), "msg_id").withColumn("domains", F.concat_ws("|", F.transform("domains", lambda x: F.coalesce(x, F.lit("\\N")))))
+    events = messages.to_events(table(spark, d, "raw_messages"), "msg_id")
+    for c in ("validity_not_before", "validity_not_after"):  # microseconds since the epoch compare alike everywhere
+        events = events.withColumn(c, F.unix_micros(c))
+    return events.withColumn("domains", F.concat_ws("|", F.transform("domains", lambda x: F.coalesce(x, F.lit("\\N")))))
 
 
 def src_invalid(spark, d):
@@ -163,13 +166,13 @@ def _metrics_by(what: str, spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_interval_delta(spark, d):
-    return kpis.interval_deltas(_events(spark, d), "seen_at", "1 day")
+    return kpis.interval_deltas(_events(spark, d), "seen_at", "1 day").withColumn("start", F.unix_micros("start"))
 
 
 def events_by_interval(spark, d):
     """Stream events per hour and type."""
     e = table(spark, d, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+    return e.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "event_type").agg(F.count("*").alias("n"))
 
 
 def _ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -140,8 +140,8 @@ _PARSE = """
 select msg_id, m.leaf_cert.serial_number as serial_number, m.leaf_cert.signature_algorithm as signature_algo,
   nullif(m.leaf_cert.issuer.C, '') as issuer_country, nullif(m.leaf_cert.issuer.O, '') as issuer_organisation,
   coalesce(m.leaf_cert.issuer.CN, '') as issuer_common_name,
-  make_timestamptz(cast(round(m.leaf_cert.not_before * 1000000) as bigint)) as validity_not_before,
-  make_timestamptz(cast(round(m.leaf_cert.not_after * 1000000) as bigint)) as validity_not_after,
+  cast(round(m.leaf_cert.not_before * 1000000) as bigint) as validity_not_before,
+  cast(round(m.leaf_cert.not_after * 1000000) as bigint) as validity_not_after,
   array_to_string(list_transform(m.leaf_cert.all_domains, lambda x: coalesce(x, '\\N')), '|') as domains,
   coalesce(m.source.name, 'unknown') as source, m.cert_index as cert_index, coalesce(m.update_type = 'PrecertLogEntry', false) as is_precert
 from (select msg_id, message_type, data as m from raw_messages)
@@ -202,8 +202,8 @@ def oracle_sql() -> dict[str, str]:
         "metrics_by_family": kept
         + f"select family, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from (select {_FAMILY} as family from (select unnest(rs) as x from found)) group by 1",
         "metrics_interval_delta": """with b as (select date_trunc('day', seen_at) as start, cast(sum(coalesce(len(domains), 0)) as bigint) as n_domains from cert_events where seen_at is not null group by 1)
-select start, n_domains, cast(sum(n_domains) over (order by start) as bigint) as n_so_far from b""",
-        "events_by_interval": "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all",
+select epoch_us(start) as start, n_domains, cast(sum(n_domains) over (order by start) as bigint) as n_so_far from b""",
+        "events_by_interval": "select strftime(ts, '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by all",
         "wl_split_domain": rank + "select rank, label, registrable, tld from sp",
         "wl_region": rank + "select rank, region from cl",
         "wl_sector": rank + "select rank, sector from cl",

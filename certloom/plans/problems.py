@@ -15,12 +15,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return salted.frequent_values(table(spark, d, "cert_events"), FIELDS, 0.05)
 
 
+def _profiled(spark: SparkSession, d: str, field: str) -> DataFrame:
+    """Times as microseconds since the epoch, which compare alike everywhere."""
+    rows = salted.field_profile(table(spark, d, "cert_events"), field, hex_form(F.col("serial_number")))
+    return rows.withColumn("first_seen", F.unix_micros("first_seen")).withColumn("last_seen", F.unix_micros("last_seen"))
+
+
 def p2_source_profile(spark: SparkSession, d: str) -> DataFrame:
-    return salted.field_profile(table(spark, d, "cert_events"), "source", hex_form(F.col("serial_number")))
+    return _profiled(spark, d, "source")
 
 
 def p2_organisation_profile(spark: SparkSession, d: str) -> DataFrame:
-    return salted.field_profile(table(spark, d, "cert_events"), "issuer_organisation", hex_form(F.col("serial_number")))
+    return _profiled(spark, d, "issuer_organisation")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +75,7 @@ group by all having count(*) >= 0.05 * (select count(*) from cert_events)
 def _profile(field: str) -> str:
     return f"""
 select {_label(field)} as key_value, count(*) as n_rows, count(*) filter (is_precert) as n_precerts,
-  cast(sum(coalesce(len(domains), 0)) as bigint) as n_hosts, min(seen_at) as first_seen, max(seen_at) as last_seen,
+  cast(sum(coalesce(len(domains), 0)) as bigint) as n_hosts, epoch_us(min(seen_at)) as first_seen, epoch_us(max(seen_at)) as last_seen,
   count(distinct {_hex("serial_number")}) as n_distinct
 from cert_events where {field} is not null group by 1
 """
