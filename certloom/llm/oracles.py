@@ -45,8 +45,8 @@ f as (select day, source, {_host("v")} as host from h)
 _P4 = (
     _SETS
     + """
-select day, source, cast(grouping(day, source) as integer) as grouping, count(distinct host) as n_hosts, 0 as error_bound
-from f where host is not null and host <> '' group by grouping sets ((day, source), (day), (source), ())
+select cast(day as varchar) as day, source, cast(grouping(f.day, f.source) as integer) as grouping, count(distinct host) as n_hosts, 0 as error_bound
+from f where host is not null and host <> '' group by grouping sets ((f.day, f.source), (f.day), (f.source), ())
 """
 )
 
@@ -54,7 +54,7 @@ _P4_RETURN = (
     _SETS
     + """
 , s as (select distinct day, source, host from f where host is not null and host <> '')
-select a.day, a.source, count(*) as n_hosts from s a join s b on a.source = b.source and a.host = b.host and b.day = a.day + 1 group by a.day, a.source
+select cast(a.day as varchar) as day, a.source as source, count(*) as n_hosts from s a join s b on a.source = b.source and a.host = b.host and b.day = a.day + 1 group by a.day, a.source
 """
 )
 

@@ -46,14 +46,14 @@ def _host_sets(spark: SparkSession, d: str) -> DataFrame:
 def p4_distinct_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Different hosts per day, per source, per combination of both, and in all; ``error_bound`` is 0, as counts are exact."""
     counts = bitmaps.union_counts(_host_sets(spark, d), [["day", "source"], ["day"], ["source"], []], ["day", "source"])
-    return counts.select("day", "source", "grouping", F.col("n_items").alias("n_hosts"), F.lit(0).alias("error_bound"))
+    return counts.select(F.col("day").cast("string").alias("day"), "source", "grouping", F.col("n_items").alias("n_hosts"), F.lit(0).alias("error_bound"))
 
 
 def p4_returning_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Hosts of a source that came on a day and again on the next."""
     boxes = _host_sets(spark, d)
     after = boxes.withColumn("day", F.date_sub("day", 1))
-    return bitmaps.intersection_counts(boxes, after, ["day", "source"]).where("n_items > 0").select("day", "source", F.col("n_items").alias("n_hosts"))
+    return bitmaps.intersection_counts(boxes, after, ["day", "source"]).where("n_items > 0").select(F.col("day").cast("string").alias("day"), "source", F.col("n_items").alias("n_hosts"))
 
 
 def _top_verdicts(spark: SparkSession, d: str) -> DataFrame:
