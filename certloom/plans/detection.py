@@ -15,7 +15,9 @@ from certloom.operators.detect import detect, detection_records, explode_hosts,
 from certloom.session import table
 from certloom.sources import messages
 
-WITHOUT_E01 = frozenset(RULES) - {"E-01"}
+ALL = frozenset(RULES)
+#: What SQL can check: such queries are named ``..._without_e01`` and stand beside the full ones.
+WITHOUT_E01 = ALL - {"E-01"}
 DAY = 86_400
 LANDMARKS = {"1 day": DAY, "5 days": 5 * DAY, "10 days": 10 * DAY}
 WATCH_BUDGET = 500
@@ -85,9 +87,9 @@ def _one_rule(rule: str, spark: SparkSession, d: str) -> DataFrame:
     return names.where(rules.predicates(ctx)[rule]).select("event_id", "pos", "domain")
 
 
-def _one_family(family: str, spark: SparkSession, d: str) -> DataFrame:
-    """The first matching rule of a family (without E-01, which SQL cannot check)."""
-    ctx = _context(spark, d, frozenset(FAMILY_RULES[family]) - {"E-01"})
+def _one_family(family: str, on: frozenset[str], spark: SparkSession, d: str) -> DataFrame:
+    """The first matching rule of a family."""
+    ctx = _context(spark, d, frozenset(FAMILY_RULES[family]) & on)
     names = with_rule_inputs(_hosts(spark, d), ctx).withColumn("rule", rules.family_rule(ctx, family))
     return names.where("rule is not null").select("event_id", "pos", "rule")
 
@@ -111,9 +113,9 @@ def detect_without_e01(spark, d):
     return _flat(detect(_hosts(spark, d), _context(spark, d, WITHOUT_E01)))
 
 
-def reinforcement_gate(spark, d):
+def reinforcement_gate(spark, d, on=ALL):
     """Weak hits that came through because another family matched."""
-    found = _flat(detect(_hosts(spark, d), _context(spark, d, WITHOUT_E01)))
+    found = _flat(detect(_hosts(spark, d), _context(spark, d, on)))
     return found.where(F.col("rules").rlike("M-0")).select("event_id", "pos", "rules")
 
 
@@ -121,8 +123,8 @@ def rule_toggles_morph_only(spark, d):
     return _flat(detect(_hosts(spark, d), _context(spark, d, frozenset({"M-03"}))))
 
 
-def records_of_detections(spark, d):
-    found = detect(_hosts(spark, d, "source", "serial_number"), _context(spark, d, WITHOUT_E01))
+def records_of_detections(spark, d, on=ALL):
+    found = detect(_hosts(spark, d, "source", "serial_number"), _context(spark, d, on))
     out = detection_records(found).drop("detected_at")
     return out.withColumn("families", F.concat_ws(",", "families")).withColumn("rules", F.concat_ws(",", "rules"))
 
@@ -148,21 +150,21 @@ def kpi_landmarks(spark, d):
     return kpis.landmarks(_events(spark, d), "seen_at", LANDMARKS).withColumn("certs_per_second", F.round("certs_per_second", 9))
 
 
-def kpi_detection_without_lists(spark, d):
+def kpi_detection_without_lists(spark, d, on=ALL):
     """Detection figures of a bounded run that knows no brands and no terms."""
     events = strip_wildcards(_hosts(spark, d))
-    found = detect(events, DetectContext(rules=WITHOUT_E01, suffixes=load_rules()), skip_wildcards=False)
+    found = detect(events, DetectContext(rules=on, suffixes=load_rules()), skip_wildcards=False)
     return kpis.detection_totals(events, found).withColumn("percent_of_domains", F.round("percent_of_domains", 6))
 
 
-def metrics_totals(spark, d):
+def metrics_totals(spark, d, on=ALL):
     events = strip_wildcards(_hosts(spark, d))
-    found = detect(events, _context(spark, d, WITHOUT_E01), skip_wildcards=False)
+    found = detect(events, _context(spark, d, on), skip_wildcards=False)
     return kpis.detection_totals(events, found).withColumn("percent_of_domains", F.round("percent_of_domains", 6))
 
 
-def _metrics_by(what: str, spark: SparkSession, d: str) -> DataFrame:
-    return kpis.reasons_by(detect(_hosts(spark, d), _context(spark, d, WITHOUT_E01)), what).withColumn("percent", F.round("percent", 6))
+def _metrics_by(what: str, on: frozenset[str], spark: SparkSession, d: str) -> DataFrame:
+    return kpis.reasons_by(detect(_hosts(spark, d), _context(spark, d, on)), what).withColumn("percent", F.round("percent", 6))
 
 
 def metrics_interval_delta(spark, d):
@@ -225,5 +227,8 @@ def queries() -> dict:
     ]
     out = {f.__name__: f for f in named}
     out |= {f"rule_{r.lower().replace('-', '')}": partial(_one_rule, r) for r in RULES}
-    out |= {f"family_{f}": partial(_one_family, f) for f in FAMILY_RULES}
-    return out | {"metrics_by_rule": partial(_metrics_by, "rule"), "metrics_by_family": partial(_metrics_by, "family")}
+    out |= {f"family_{f}": partial(_one_family, f, ALL) for f in FAMILY_RULES}
+    out |= {f"metrics_by_{w}": partial(_metrics_by, w, ALL) for w in ("rule", "family")}
+    out |= {f"metrics_by_{w}_without_e01": partial(_metrics_by, w, WITHOUT_E01) for w in ("rule", "family")}
+    out |= {f"{f.__name__}_without_e01": partial(f, on=WITHOUT_E01) for f in (reinforcement_gate, records_of_detections, kpi_detection_without_lists, metrics_totals)}
+    return out | {"family_encoding_without_e01": partial(_one_family, "encoding", WITHOUT_E01)}

@@ -6,6 +6,11 @@ from certloom.operators.context import SHARED_HOSTING, TERMS
 from certloom.operators.rules import TLD_LIKE
 from certloom.plans.detection import LANDMARKS, RANK_TEMPLATES, WATCH_BUDGET
 
+#: Queries with E-01 have no SQL; their SQL is that of the reduced query beside them, ``..._without_e01``.
+_REDUCED = {
+    "family_encoding", "metrics_by_rule", "metrics_by_family", "records_of_detections", "reinforcement_gate", "metrics_totals", "kpi_detection_without_lists",
+}
+
 _BLANKS = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
 
 
@@ -224,4 +229,4 @@ fed as (select count(distinct event_id) as n_certs, count(*) as n_domains from h
 select n_certs, n_domains, n_hosts_found, n_reasons, round(100.0 * n_reasons / n_domains, 6) as percent_of_domains from fed, hits
 """
     out["kpi_detection_without_lists"] = kept + no_lists
-    return out
+    return {f"{q}_without_e01" if q in _REDUCED else q: sql for q, sql in out.items()}

@@ -1,5 +1,7 @@
 """Rule, name and pipeline cases, table-driven over one DataFrame each."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from certloom.functions.psl import parse_rules, with_names
 from certloom.operators import kpis, rules
 from certloom.operators.context import RULES, DetectContext, default_terms, make_context, read_rules, read_terms, read_watchlist
 from certloom.operators.detect import detect, detection_records, strip_wildcards
+from certloom.plans import detection
 
 #: A small list in the public format: the suffixes that the cases need.
 LIST = "com\nnet\ninfo\norg\nio\nxyz\njp\nck\nuk\nco.uk\npages.dev\n*.kawasaki.jp\n!city.kawasaki.jp\n*.ck\n!www.ck\n// note\nрф\n"
@@ -143,3 +146,32 @@ def test_configuration_files(tmp_path):
         read_rules(tmp_path / "bad.yml")
     (tmp_path / "t.yml").write_text("terms:\n  l-01: [' MFA ', otp]\n")
     assert read_terms(tmp_path / "t.yml") == {"L-01": {"mfa", "otp"}}
+
+
+#: Hosts of a small feed, and the rules each has to be found by: scripts mixed under and outside xn--.
+FEED = {
+    "xn--pypal-4ve.com": ["E-01", "M-01"], "xn--80ak6aa92e.com": ["E-02"], "pаypal.com": ["E-01"], "login-pаypal.com": ["L-04", "E-01"],
+    "a.b.pаypal.com": ["E-01", "M-03"], "plain.com": [], "a-b-c-d.com": [], "*.xn--pypal-4ve.com": [],
+}
+
+
+def test_queries_run_with_all_rules(spark, tmp_path):
+    events = [(i, "log", str(i), [d]) for i, d in enumerate(FEED)]
+    spark.createDataFrame(events, "event_id bigint, source string, serial_number string, domains array<string>").write.parquet(str(tmp_path / "cert_events.parquet"))
+    spark.createDataFrame([("zzbrandzz", ["zzbrandzz.org"])], "name string, legitimate_domains array<string>").write.parquet(str(tmp_path / "watchlist.parquet"))
+    run = lambda q: detection.queries()[q](spark, str(tmp_path)).collect()
+    place = {d: i for i, d in enumerate(FEED)}
+    family = lambda rs: {"L": "lexical", "E": "encoding", "M": "morphological"}[rs[0]]
+    hits = {d: rs for d, rs in FEED.items() if rs}
+    said = [r for rs in hits.values() for r in rs]
+    encoding = {(place[d], r) for d, rs in hits.items() for r in rs if r[0] == "E"} | {(place["*.xn--pypal-4ve.com"], "E-01")}  # wildcards stay in this query
+    assert {(x.event_id, x["rule"]) for x in run("family_encoding")} == encoding
+    assert {(x.domain, x.families, x.rules) for x in run("records_of_detections")} == {(d, ",".join(map(family, rs)), ",".join(rs)) for d, rs in hits.items()}
+    assert {(x.event_id, x.rules) for x in run("reinforcement_gate")} == {(place[d], ",".join(rs)) for d, rs in hits.items() if rs[-1][0] == "M"}
+    assert {x["rule"]: x.n for x in run("metrics_by_rule")} == Counter(said)
+    assert {x.family: x.n for x in run("metrics_by_family")} == Counter(map(family, said))
+    [total] = run("metrics_totals")
+    assert (total.n_hosts_found, total.n_reasons) == (len(hits), len(said))
+    [plain] = run("kpi_detection_without_lists")  # no terms: L-04 is not there
+    assert (plain.n_hosts_found, plain.n_reasons) == (len(hits), len(said) - 1)
+    assert {x["rule"]: x.n for x in run("metrics_by_rule_without_e01")} == {"E-02": 2, "L-04": 1, "M-01": 1}
