@@ -7,6 +7,11 @@ and the merged sketch - a constant number of bytes - is read by the driver, whic
 prefixes to heavy longer ones. A second scan counts the surviving keys exactly. If the exact counts show
 that the cut was too high to be sure of the wanted items, the descent is repeated with a lower cut.
 
+The estimates only choose what is counted; that nothing is missing is proved. No value that the second scan
+left out can occur more often than its shortest prefix has rows left when the values counted below it are
+taken off. Where that is less than the k-th count, the prefix is settled. Below the others longer prefixes
+(``PROOF_BITS``) are counted exactly, and below those that are still open, every value is.
+
 Cases: null and empty values are no items. Equal counts: the smaller string first. Fewer different items
 than wanted: all of them. Empty tables give no rows. Repeated rows count each time.
 """
@@ -19,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from certloom.llm.mixing64 import mix, reduce_to
+from certloom.session import materialise
 
 #: Prefix lengths in bits; the first has exact counters.
 LADDER = (12, 16, 20, 24, 28, 32)
@@ -27,6 +33,10 @@ ROWS = 5
 #: More candidates than this go to the second scan by a join instead of a literal set.
 LITERALS = 2000
 SURVIVORS = 1 << 20
+#: Prefix length of the proof that no item is missing: at most 2^20 counts a field.
+PROOF_BITS = 20
+#: So many largest counters of a row, those of heavy prefixes, are no noise.
+HEAVY_COUNTERS = 64
 
 _U = np.uint64
 
@@ -101,27 +111,35 @@ class Sketch:
         return np.median(each, axis=0)
 
     def noise(self, level: int) -> float:
-        """Typical error of an estimate: the median row's root mean square over its counters."""
+        """Typical error of an estimate: the median row's root mean square over its counters, the largest left out.
+
+        Unlike their median it is not 0 where most counters are empty.
+        """
         if level == 0:
             return 0.0
-        return float(np.median([np.median(np.abs(self.tables[level, r])) for r in range(ROWS)])) * 1.5
+        rows = [np.sort(np.abs(self.tables[level, r]))[:-HEAVY_COUNTERS].astype(np.float64) for r in range(ROWS)]
+        return float(np.median([np.sqrt(np.mean(x * x)) for x in rows]))
 
     def descend(self, cut: float) -> tuple[int, np.ndarray]:
         """(level, prefixes): all prefixes whose estimates, with four times the noise, reach ``cut`` so far.
 
         Where the counts are too even for the sketch, so that more prefixes survive than ``SURVIVORS``,
-        the descent ends on that level and the second scan counts all values below them.
+        the descent ends on that level and the second scan counts all values below them. A level that does
+        not halve the key space left is not returned: it would only make more prefixes of the same values.
         """
         cut = max(cut, 1)
         prefix = np.arange(1 << LADDER[0], dtype=np.uint64)
         prefix = prefix[self.estimate(prefix, 0) >= cut]
+        kept = 0, prefix
         for level in range(1, len(LADDER)):
             step = LADDER[level] - LADDER[level - 1]
             if len(prefix) << step > SURVIVORS:
-                return level - 1, prefix
+                break
             prefix = ((prefix[:, None] << _U(step)) | np.arange(1 << step, dtype=np.uint64)).ravel()
             prefix = prefix[self.estimate(prefix, level) + 4 * self.noise(level) >= cut]
-        return len(LADDER) - 1, prefix
+            if 2 * len(prefix) <= len(kept[1]) << (LADDER[level] - LADDER[kept[0]]):
+                kept = level, prefix
+        return kept
 
     def first_cut(self, k: int) -> float:
         """A cut below the k-th largest count: halved from the largest prefix until k survivors lie clearly above it."""
@@ -145,9 +163,10 @@ def build_sketches(items: DataFrame) -> dict[int, Sketch]:
     return {f: Sketch(t) for f, t in tables.items()}
 
 
-def _exact(items: DataFrame, wanted: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
-    """Second scan: exact counts of the values whose hash prefix is a candidate."""
+def _below(items: DataFrame, wanted: dict[int, tuple[int, np.ndarray]], inside: bool = True) -> DataFrame:
+    """The rows of the fields of ``wanted`` whose hash prefix is a candidate, or, if not ``inside``, is none."""
     spark = items.sparkSession
+    items = items.where(F.col("field").isin(list(wanted)))
     prefix = F.lit(None).cast("bigint")
     for f, (level, _) in wanted.items():
         prefix = F.when(F.col("field") == f, F.shiftrightunsigned("h", 64 - LADDER[level])).otherwise(prefix)
@@ -155,11 +174,44 @@ def _exact(items: DataFrame, wanted: dict[int, tuple[int, np.ndarray]]) -> DataF
         hit = F.lit(False)
         for f, (_, ps) in wanted.items():
             hit = hit | ((F.col("field") == f) & prefix.isin([int(p) for p in ps]))
-        found = items.where(hit)
-    else:  # at most SURVIVORS rows a field
-        pairs = pa.table({"field": pa.array(np.concatenate([np.full(len(ps), f) for f, (_, ps) in wanted.items()]), pa.int32()), "prefix": pa.array(np.concatenate([ps.astype(np.int64) for _, ps in wanted.values()]))})
-        found = items.withColumn("prefix", prefix).join(spark.createDataFrame(pairs), ["field", "prefix"], "left_semi")
-    return found.groupBy("field", "value").agg(F.count("*").alias("n"), F.first("h").alias("h"))
+        return items.where(hit if inside else ~hit)
+    # at most SURVIVORS rows a field
+    pairs = pa.table({"field": pa.array(np.concatenate([np.full(len(ps), f) for f, (_, ps) in wanted.items()]), pa.int32()), "prefix": pa.array(np.concatenate([ps.astype(np.int64) for _, ps in wanted.values()]))})
+    return items.withColumn("prefix", prefix).join(spark.createDataFrame(pairs), ["field", "prefix"], "left_semi" if inside else "left_anti").drop("prefix")
+
+
+def _exact(rows: DataFrame) -> DataFrame:
+    """Exact counts of all values of the rows."""
+    return rows.groupBy("field", "value").agg(F.count("*").alias("n"), F.first("h").alias("h"))
+
+
+def _first(exact: DataFrame, k: dict[int, int]) -> dict[int, list]:
+    """The k most frequent values of each field, in order."""
+    by_count = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    top = exact.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= max(k.values())).collect()
+    return {f: sorted((r for r in top if r.field == f and r["rank"] <= n), key=lambda r: r["rank"]) for f, n in k.items()}
+
+
+def _open_prefixes(sketches: dict[int, Sketch], exact: DataFrame, bars: dict[int, int]) -> dict[int, tuple[int, np.ndarray]]:
+    """Shortest prefixes below which at least ``bars`` rows of a field are not counted yet: a value may be missing there."""
+    left = {f: sketches[f].tables[0, 0].copy() for f in bars}
+    by = exact.where(F.col("field").isin(list(bars))).groupBy("field", F.shiftrightunsigned("h", 64 - LADDER[0]).alias("p"))
+    for r in by.agg(F.sum("n").alias("n")).collect():  # 2^12 rows a field at most
+        left[r.field][r.p] -= r.n
+    return {f: (0, np.flatnonzero(x >= bars[f]).astype(np.uint64)) for f, x in left.items() if (x >= bars[f]).any()}
+
+
+def _missing(rows: DataFrame, wanted: dict[int, tuple[int, np.ndarray]], still_open: dict[int, tuple[int, np.ndarray]], bars: dict[int, int]) -> DataFrame:
+    """Exact counts of the values not counted yet that can reach ``bars``: all below open prefixes of ``PROOF_BITS``."""
+    rest = _below(_below(rows, still_open), {f: wanted[f] for f in still_open}, inside=False)
+    # field and prefix in one number: the broadcast table, 2^20 rows a field at most, is one of plain longs
+    place = F.shiftleft(F.col("field").cast("bigint"), PROOF_BITS).bitwiseOR(F.shiftrightunsigned("h", 64 - PROOF_BITS))
+    rest = rest.withColumn("place", place)
+    bar = F.lit(None).cast("bigint")
+    for f in still_open:
+        bar = F.when(F.shiftright("place", PROOF_BITS) == f, bars[f]).otherwise(bar)
+    places = rest.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= bar).select("place")
+    return _exact(rest.join(F.broadcast(places), "place", "left_semi"))
 
 
 def most_frequent(items: DataFrame, k: dict[int, int]) -> DataFrame:
@@ -171,18 +223,20 @@ def most_frequent(items: DataFrame, k: dict[int, int]) -> DataFrame:
     rows = items.where("value is not null and value <> ''").withColumn("h", F.xxhash64("value"))
     sketches = build_sketches(rows.select("field", "h"))
     open_cuts = {f: sketches[f].first_cut(n) for f, n in k.items() if f in sketches and n > 0}
-    by_count = Window.partitionBy("field").orderBy(F.desc("n"), "value")
     out: list[tuple] = []
     while open_cuts:
-        exact = _exact(rows, {f: sketches[f].descend(cut) for f, cut in open_cuts.items()})
-        top = exact.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= max(k.values())).collect()
+        wanted = {f: sketches[f].descend(cut) for f, cut in open_cuts.items()}
+        exact = materialise(_exact(_below(rows, wanted)), "counts")
+        top = _first(exact, {f: k[f] for f in open_cuts})
         again: dict[int, float] = {}
         for f, cut in open_cuts.items():
-            best = [r for r in top if r.field == f and r["rank"] <= k[f]]
-            if cut > 1 and (len(best) < k[f] or min(r.n for r in best) < cut):
-                again[f] = max(1.0, cut / 2)
-                continue
-            for r in best:
+            if cut > 1 and (len(top[f]) < k[f] or top[f][-1].n < cut):
+                again[f] = float(top[f][-1].n) if len(top[f]) == k[f] else max(1.0, cut / 2)
+        bars = {f: top[f][-1].n if len(top[f]) == k[f] else 1 for f in open_cuts if f not in again}
+        if bars and (still_open := _open_prefixes(sketches, exact, bars)):
+            top |= _first(exact.unionByName(_missing(rows, wanted, still_open, bars)), {f: k[f] for f in still_open})
+        for f in bars:
+            for r in top[f]:
                 p = np.array([r.h], dtype=np.int64).view(np.uint64) >> _U(64 - LADDER[-1])
                 out.append((f, r.value, r.n, int(sketches[f].estimate(p, len(LADDER) - 1)[0]), r["rank"]))
         open_cuts = again

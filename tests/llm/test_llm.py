@@ -77,6 +77,29 @@ def test_heavy_hitters(spark, kind):
     assert heavy_hitters.most_frequent(df.limit(0), {0: 5}).collect() == []
 
 
+def _repeated(spark, seed):
+    """2,000 values a field of close counts, and the rows of the ten most frequent ones. Most counters of a sketch stay empty."""
+    r = random.Random(seed)
+    counts = {f"s{seed}v{i}": r.randint(100, 200) for i in range(2000)}
+    df = spark.createDataFrame([(0, v, n) for v, n in counts.items()], "field int, value string, n int").repartition(4)
+    return df.select("field", F.explode(F.array_repeat("value", F.col("n"))).alias("value")), sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10]
+
+
+@pytest.mark.parametrize("seed", [2, 29])
+def test_heavy_hitters_of_sparse_tables(spark, seed):
+    df, want = _repeated(spark, seed)
+    assert [(x.value, x.n_exact) for x in heavy_hitters.most_frequent(df, {0: 10}).orderBy("rank").collect()] == want
+
+
+@pytest.mark.parametrize("literals", [heavy_hitters.LITERALS, 0])
+def test_heavy_hitters_do_not_rest_on_estimates(spark, monkeypatch, literals):
+    df, want = _repeated(spark, 2)
+    descend = heavy_hitters.Sketch.descend
+    monkeypatch.setattr(heavy_hitters, "LITERALS", literals)
+    monkeypatch.setattr(heavy_hitters.Sketch, "descend", lambda self, cut: (lambda level, prefix: (level, prefix[::2]))(*descend(self, cut)))  # half of them lost
+    assert [(x.value, x.n_exact) for x in heavy_hitters.most_frequent(df, {0: 10}).orderBy("rank").collect()] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, bitmaps.CHUNK - 1), max_size=400), st.integers(0, 9000), st.integers(0, 3))
 def test_containers_round_trip(at, width, step):
