@@ -11,6 +11,7 @@ from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from certloom.functions.psl import SuffixRules, load_rules
 
@@ -37,6 +38,8 @@ SHARED_HOSTING = ("azure-api.net", "meraki.direct")
 #: Literal sets beyond this size are refused; a larger watchlist has to be split into several runs.
 MOST_LITERALS = 200_000
 SHORTEST_DIGIT_RUN = 3
+#: What ``str.strip`` drops.
+_BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]"
 
 
 @dataclass(frozen=True)
@@ -77,31 +80,34 @@ def make_context(entries: Iterable[tuple[str, Iterable[str]]], terms: dict[str,
     """From (brand name, legitimate domains): names are trimmed and lowered, domains are taken as written."""
     names, legit = set(), set()
     for name, domains in entries:
-        names.add(name.strip().lower())
+        names.add(name)
         legit.update(d for d in domains or () if d is not None)
+    return _context(names, legit, terms, rules, shared, suffixes)
+
+
+def _context(names: Iterable[str], legit: Iterable[str], terms: dict[str, frozenset[str]] | None = None, rules: frozenset[str] | None = None, shared: Iterable[str] = SHARED_HOSTING, suffixes: SuffixRules | None = None) -> DetectContext:
     return DetectContext(
-        brands=frozenset(names), allowlist=frozenset(legit) | frozenset(shared), digit_exceptions=digit_runs(legit),
+        brands=frozenset(n.strip().lower() for n in names), allowlist=frozenset(legit) | frozenset(shared), digit_exceptions=digit_runs(legit),
         terms=default_terms() if terms is None else terms, rules=rules, suffixes=suffixes or load_rules(),
     )
 
 
 def context_of_table(watchlist: DataFrame, tiers: Iterable[str] | None = None, **more) -> DetectContext:
-    """From a watchlist table (name, tier, legitimate_domains). Its size is checked before it is read."""
+    """From a watchlist table (name, tier, legitimate_domains). Names and domains are made distinct, and their numbers checked, before they are read."""
     rows = watchlist.where("name is not null")
     if tiers is not None:
         rows = rows.where(rows.tier.isin(list(tiers)))
-    found = rows.select("name", "legitimate_domains").limit(MOST_LITERALS + 1).collect()
-    return make_context(((r.name, r.legitimate_domains) for r in _rows(found)), **more)
-
-
-@dataclass(frozen=True)
-class _Entry:
-    name: str
-    legitimate_domains: list[str]
+    names = _distinct(rows.select(F.lower(F.regexp_replace("name", f"^{_BLANK}+|{_BLANK}+$", "")).alias("x")), "brands")
+    legit = _distinct(rows.select(F.explode("legitimate_domains").alias("x")).where("x is not null"), "legitimate domains")
+    return _context(names, legit, **more)
 
 
-def _rows(found: list) -> list[_Entry]:
-    return [_Entry(r["name"], r["legitimate_domains"]) for r in found]
+def _distinct(values: DataFrame, what: str) -> list[str]:
+    """The different values of column ``x``; more than ``MOST_LITERALS`` are an error, never cut."""
+    found = values.distinct().limit(MOST_LITERALS + 1).collect()
+    if len(found) > MOST_LITERALS:
+        raise ValueError(f"the watchlist holds more than {MOST_LITERALS} different {what}; split it")
+    return [r.x for r in found]
 
 
 def _yaml(path: str | Path) -> dict:

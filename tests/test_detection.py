@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certloom.functions.psl import parse_rules, with_names
+from certloom.operators import context as contexts
 from certloom.operators import kpis, rules
 from certloom.operators.context import RULES, DetectContext, default_terms, make_context, read_rules, read_terms, read_watchlist
 from certloom.operators.detect import detect, detection_records, strip_wildcards
@@ -175,3 +176,14 @@ def test_queries_run_with_all_rules(spark, tmp_path):
     [plain] = run("kpi_detection_without_lists")  # no terms: L-04 is not there
     assert (plain.n_hosts_found, plain.n_reasons) == (len(hits), len(said) - 1)
     assert {x["rule"]: x.n for x in run("metrics_by_rule_without_e01")} == {"E-02": 2, "L-04": 1, "M-01": 1}
+
+
+def test_watchlist_is_not_cut(spark, monkeypatch):
+    rows = [(f" Brand{i} " if k else f"BRAND{i}", [f"b{i}.com", None]) for i in range(10) for k in range(5)] + [(None, ["no.com"]), ("brand0", None)]
+    table = spark.createDataFrame(rows, "name string, legitimate_domains array<string>")
+    monkeypatch.setattr(contexts, "MOST_LITERALS", 12)  # fewer than the rows, not than the brands
+    ctx = contexts.context_of_table(table, suffixes=SUFFIXES)
+    assert ctx.brands == {f"brand{i}" for i in range(10)} and ctx.allowlist == {f"b{i}.com" for i in range(10)} | set(contexts.SHARED_HOSTING)
+    monkeypatch.setattr(contexts, "MOST_LITERALS", 9)
+    with pytest.raises(ValueError):
+        contexts.context_of_table(table, suffixes=SUFFIXES)
