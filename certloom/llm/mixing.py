@@ -9,7 +9,8 @@
 
 The total defaults to the largest one at which every source that has any tokens can fill its share within
 its cap on repeats; a source without rows reaches 0 and is reported so. ``max_repeats`` is how many times
-a document may appear in all.
+a document may appear in all; where it is null, once. A source that may not appear (``max_repeats`` 0 or less)
+or has no share (null, 0 or less) takes nothing and does not bound the total; it is reported with share 0.
 
 Cases: documents with null text or a source not in the targets take no part; sources are compared in lower
 case with blanks trimmed and reduced. Empty texts hold no tokens. Equal keys are ordered by doc_id. No
@@ -63,23 +64,28 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def _counted(docs: DataFrame, targets: DataFrame, tokenizer: str) -> tuple[DataFrame, list[Row]]:
     """The stored counts of the targets' documents, and the targets with the tokens they have."""
-    wanted = targets.select(label_form(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0")
-    names = [r.source for r in wanted.select("source").distinct().collect()]  # the settings: as many rows as sources
+    wanted = targets.select(label_form(F.col("source")).alias("source"), "target_share", "max_repeats")
+    names = [r.source for r in wanted.where("source is not null").select("source").distinct().collect()]  # the settings: as many rows as sources
     counted = materialise(token_counts(docs.where(label_form(F.col("source")).isin(names)) if names else docs.limit(0), tokenizer), "tokens")
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     return counted, wanted.join(sums, "source", "left").fillna({"available_tokens": 0}).orderBy("source").collect()
 
 
+def _most(target: Row) -> int:
+    """How often a document of a target may appear: once where nothing is said."""
+    return 1 if target.max_repeats is None else max(target.max_repeats, 0)
+
+
 def _budgets(plan: list[Row], total_tokens: int | None) -> list[tuple[str, float, int, int, int, int, int]]:
     """(source, share, repeats, available, budget, epochs, rest) of each target."""
-    able = [r.available_tokens * max(r.max_repeats or 0, 0) / r.target_share for r in plan if r.available_tokens]
+    plan = [(r, r.target_share if r.target_share and r.target_share > 0 else 0.0, _most(r)) for r in plan]
+    able = [r.available_tokens * most / share for r, share, most in plan if r.available_tokens and most and share]
     total = total_tokens if total_tokens is not None else int(min(able, default=0))
     out = []
-    for r in plan:
-        cap = r.available_tokens * max(r.max_repeats or 0, 0)
-        budget = min(int(r.target_share * total + 1e-6), cap)
+    for r, share, most in plan:
+        budget = min(int(share * total + 1e-6), r.available_tokens * most)
         epochs = budget // r.available_tokens if r.available_tokens else 0
-        out.append((r.source, r.target_share, r.max_repeats or 0, r.available_tokens, budget, epochs, budget - epochs * r.available_tokens))
+        out.append((r.source, r.target_share, most, r.available_tokens, budget, epochs, budget - epochs * r.available_tokens))
     return out
 
 

@@ -270,3 +270,21 @@ def test_mixing(spark):
     assert {tuple(x) for x in again} == {tuple(x) for x in rows}
     assert mixing.mixed_corpus(df.limit(0), targets).collect() == [] and mixing.mixed_corpus(df, targets.limit(0)).collect() == []
     assert len(mixing.shares_reached(df.limit(0), targets).collect()) == 3
+
+
+def test_mixing_targets_without_share_or_repeats(spark):
+    docs = [(i, " ".join(["token"] * 20), s) for i, s in enumerate(["big", "small", "off", "once", "plain", "none"] * 20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows = [("big", 0.5, 1), ("small", 0.3, 2), ("off", 0.1, 0), ("once", 0.1, None), ("plain", None, 1), ("none", 0.0, 1), (None, 0.2, 1), ("absent", 0.2, None)]
+    targets = spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
+    took = Counter()
+    for x in mixing.mixed_corpus(df, targets).collect():
+        took[x.source] += x.n_tokens
+        assert x.epoch <= {"big": 1, "small": 2, "once": 1}[x.source]
+    each = sum(len(mixing._encoder(mixing.TOKENIZER).encode_ordinary(t)) for _, t, s in docs if s == "big")
+    assert took["big"] == each and 0.9 * 0.6 * each < took["small"] <= 0.6 * each and 0 < took["once"] <= 0.2 * each
+    shares = {x.source: x for x in mixing.shares_reached(df, targets).collect()}
+    assert set(shares) == {s for s, *_ in rows}  # every target has its row
+    assert {s for s, x in shares.items() if x.share_reached > 0} == {"big", "small", "once"}
+    assert {s: x.mixed_tokens for s, x in shares.items() if x.mixed_tokens} == took
+    assert (shares["off"].max_repeats, shares["once"].max_repeats, shares["plain"].target_share, shares["plain"].available_tokens) == (0, 1, None, each)
