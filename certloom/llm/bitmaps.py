@@ -109,10 +109,13 @@ def union_counts(boxes: DataFrame, sets: list[list[str]], names: list[str]) -> D
 
 
 def intersection_counts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """(on..., n_items): exact sizes of intersections; containers of equal ``on`` and chunk are ANDed, bits counted."""
+    """(on..., n_items): exact sizes of intersections; containers of equal ``on`` and chunk are ANDed, bits counted.
+
+    Null equals null in ``on``: such groups meet like any other.
+    """
     a = left.select(*on, "bucket", "chunk", F.col("box").alias("box_a"))
-    b = right.select(*on, "bucket", "chunk", F.col("box").alias("box_b"))
-    both = a.join(b, [*on, "bucket", "chunk"])
+    b = right.select(*(F.col(k).alias(f"_{k}_b") for k in [*on, "bucket", "chunk"]), F.col("box").alias("box_b"))
+    both = a.join(b, [F.col(k).eqNullSafe(F.col(f"_{k}_b")) for k in on] + [F.col(k) == F.col(f"_{k}_b") for k in ("bucket", "chunk")])
     return both.select(*on, and_count("box_a", "box_b").alias("n")).groupBy(*on).agg(F.sum("n").alias("n_items"))
 
 

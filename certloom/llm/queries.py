@@ -50,8 +50,8 @@ def p4_distinct_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_returning_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """Hosts of a source that came on a day and again on the next."""
-    boxes = _host_sets(spark, d)
+    """Hosts of a source that came on a day and again on the next. A null source is one of its own; a null day has no next."""
+    boxes = _host_sets(spark, d).where("day is not null")
     after = boxes.withColumn("day", F.date_sub("day", 1))
     return bitmaps.intersection_counts(boxes, after, ["day", "source"]).where("n_items > 0").select(F.col("day").cast("string").alias("day"), "source", F.col("n_items").alias("n_hosts"))
 

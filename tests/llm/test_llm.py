@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from certloom.llm import bitmaps, glyphs, heavy_hitters, leakage, mixing, seen_keys, topn
+from certloom.llm import bitmaps, glyphs, heavy_hitters, leakage, mixing, queries, seen_keys, topn
 from certloom.llm.fm_index import FMIndex
 from certloom.llm.peeling import PeelingFilter
 
@@ -130,6 +130,19 @@ def test_bitmap_counts(spark):
     assert bitmaps.union_counts(none, [["day"]], ["day"]).collect() == []
 
 
+def test_intersections_of_null_groups(spark, tmp_path):
+    rows = [("d1", None, "x"), ("d1", None, "y"), ("d2", None, "x"), ("d1", "A", "x"), ("d2", "A", "x"), ("d2", "A", "y"), (None, None, "x"), (None, "A", "x")]
+    df = spark.createDataFrame(rows, "day string, grp string, host string")
+    boxes = bitmaps.stored_containers(df, F.col("host"), {"day": F.col("day"), "grp": F.col("grp")}, buckets=3)
+    one = lambda day: boxes.where(F.col("day").eqNullSafe(F.lit(day)))
+    assert {tuple(x) for x in bitmaps.intersection_counts(one("d1").drop("day"), one("d2").drop("day"), ["grp"]).collect()} == {(None, 1), ("A", 1)}
+    assert {tuple(x) for x in bitmaps.intersection_counts(one(None), one(None), ["day", "grp"]).collect()} == {(None, None, 1), (None, "A", 1)}
+    days = {"d1": "2026-01-01 10:00:00", "d2": "2026-01-02 10:00:00"}
+    events = spark.createDataFrame([(days.get(d), g, [h]) for d, g, h in rows], "seen_at string, source string, domains array<string>")
+    events.withColumn("seen_at", F.col("seen_at").cast("timestamp")).write.parquet(str(tmp_path / "cert_events.parquet"))
+    assert {tuple(x) for x in queries.p4_returning_hosts(spark, str(tmp_path)).collect()} == {("2026-01-01", None, 1), ("2026-01-01", "a", 1)}
+
+
 def test_top_n(spark):
     r = random.Random(6)
     score = lambda: r.choice([None, float("nan"), -0.1, 1.1, -0.0, 0.0, 1.0, 0.5, round(r.random(), 2)])
