@@ -98,6 +98,7 @@ def watch(run: RunConfig, spark=None) -> int:
     ctx = detect_context(run)
     figures = detection.RunningFigures() if run.metrics and run.detection else None
     counted: list[int] = []
+    aside: dict[int, int] = {}
     began = time.monotonic()
     write = detection.batch_writer(run.output, ctx, run.skip_wildcards, figures, counted)
     if run.source == "fixtures":
@@ -105,14 +106,13 @@ def watch(run: RunConfig, spark=None) -> int:
     else:
         spark.dataSource.register(live.CertFeed)
         frames = spark.readStream.format("certfeed").option("url", run.certstream_url).load()
-        events = messages.to_events(messages.parse_frames(frames))
-        query = events.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(spark, "watch")).trigger(processingTime="1 second").start()
+        query = messages.parse_frames(frames).writeStream.foreachBatch(detection.message_writer(write, aside)).option("checkpointLocation", shared_path(spark, "watch")).trigger(processingTime="1 second").start()
         try:
             last = time.monotonic()
             while not query.awaitTermination(max(1, int(run.metrics_interval))):
                 if figures is not None:
                     now = time.monotonic()
-                    print(figures.snapshot(now - began, now - last), file=sys.stderr)
+                    print(figures.snapshot(now - began, now - last), _incomplete(aside), sep="\n", file=sys.stderr)
                     last = now
         except KeyboardInterrupt:
             query.stop()
@@ -122,10 +122,16 @@ def watch(run: RunConfig, spark=None) -> int:
         n = figures.totals["n_found"]
     else:
         n = sum(counted)
+    if run.source != "fixtures":  # a replay stops at the first one
+        print(_incomplete(aside), file=sys.stderr)
     print(f"done: {n} {'detection(s)' if run.detection else 'certificate(s) processed'}", file=sys.stderr)
     return n
 
 
+def _incomplete(aside: dict[int, int]) -> str:
+    return f"incomplete certificate messages put aside: {sum(aside.values())}"
+
+
 def kpis(spark, path: str, top: int) -> str:
     """Figures of a replay as text; detection runs without brands and terms, wildcards stripped."""
     from certloom.operators import kpis as figures
@@ -133,9 +139,10 @@ def kpis(spark, path: str, top: int) -> str:
     from certloom.operators.detect import detect, strip_wildcards
     from certloom.sources import messages
 
-    events = messages.to_events(messages.read_messages(spark, path))
+    read = messages.read_messages(spark, path)
+    events = messages.to_events(read)
     fed, unique = figures.feed_totals(events).first(), figures.distinct_hosts(events).first()
-    lines = [f"certs:   {fed.n_certs}", f"domains: {fed.n_domains} total, {unique.n_unique} unique", f"by source (top {top}):"]
+    lines = [f"certs:   {fed.n_certs}", f"domains: {fed.n_domains} total, {unique.n_unique} unique", _incomplete({0: messages.invalid_messages(read).count()}), f"by source (top {top}):"]
     lines += [f"  {r.source or '?':<45} {r.n_certs:>8} {r.percent:5.1f} %" for r in figures.top_sources(events, top).collect()]
     plain = strip_wildcards(events)
     found = figures.detection_totals(plain, detect(plain, DetectContext(), skip_wildcards=False)).first()

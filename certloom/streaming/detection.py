@@ -4,6 +4,7 @@ A micro-batch overwrites its own folder (``batch=<id>``), so a batch that is run
 replaces its output instead of adding to it.
 """
 
+import logging
 import sys
 from collections.abc import Callable
 
@@ -14,6 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from certloom.operators import kpis
 from certloom.operators.context import DetectContext
 from certloom.operators.detect import detect, detection_records, raw_records, strip_wildcards
+from certloom.sources import messages
+
+log = logging.getLogger(__name__)
 
 
 class RunningFigures:
@@ -73,6 +77,22 @@ def batch_writer(out: str | None, ctx: DetectContext | None, skip_wildcards: boo
     return run
 
 
+def message_writer(write: Callable[[DataFrame, int], None], aside: dict[int, int]) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch of messages does: ``write`` gets its events; ``aside`` how many messages are incomplete, by batch."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()  # a batch of the feed is bounded; it is read more than once
+        try:
+            if lacking := messages.invalid_messages(batch).count():
+                aside[n] = lacking  # a batch that is run again counts once
+                log.warning("batch %d: %d incomplete certificate message(s) put aside", n, lacking)
+            write(messages.to_events(batch), n)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def start(events: DataFrame, out: str | None, checkpoint: str, ctx: DetectContext | None, skip_wildcards: bool = True, trigger: dict | None = None, figures: RunningFigures | None = None) -> StreamingQuery:
     """Starts the query over a stream of certificate events."""
     writer = events.writeStream.foreachBatch(batch_writer(out, ctx, skip_wildcards, figures)).option("checkpointLocation", checkpoint)

@@ -139,3 +139,31 @@ def test_tail(spark, tmp_path):
         assert len(lines) == n
         if lines:
             assert lines[0].startswith("03:04:05  L-04,M-01") and "a.com, b.com" in lines[1]
+
+
+def test_incomplete_messages_are_reported(spark, tmp_path, monkeypatch, capsys):
+    lines = [json.dumps(m) for m in (message(), message(all_domains=None), message(serial_number=None), {"message_type": "heartbeat"})]
+    (tmp_path / "f.jsonl").write_text("\n".join(lines))
+    text = cli.kpis(spark, str(tmp_path / "f.jsonl"), 3)
+    assert "certs:   1" in text and "incomplete certificate messages put aside: 2" in text
+    aside, got = {}, []
+    write = detection.message_writer(lambda events, n: got.append((n, events.count())), aside)
+    for n in (0, 1, 1):  # the last one is run again
+        write(messages.read_messages(spark, str(tmp_path / "f.jsonl")), n)
+    assert aside == {0: 2, 1: 2} and got == [(0, 1), (1, 1), (1, 1)]
+
+    # the live watch from end to end, over a feed that ends
+    monkeypatch.setattr(messages, "parse_frames", lambda frames: messages.stream_messages(spark, str(tmp_path / "in")))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("\n".join(lines))
+    waits = iter([False])
+
+    def wait(self, timeout=None):
+        self.processAllAvailable()
+        if next(waits, None) is None:
+            raise KeyboardInterrupt
+        return False
+
+    monkeypatch.setattr("pyspark.sql.streaming.StreamingQuery.awaitTermination", wait)
+    assert cli.watch(cli.RunConfig(watchlist=str(tmp_path / "none"), output=str(tmp_path / "o")), spark) == 1
+    assert "incomplete certificate messages put aside: 2" in capsys.readouterr().err
