@@ -1,82 +1,151 @@
 """FM-index over sequences of word numbers: suffix order, wavelet matrix, sampled positions.
 
-All searches and locations run side by side in whole-array numpy steps.
+All searches and locations run side by side in whole-array numpy steps. An index is a few byte strings
+(``parts``), so it can be stored and opened again without the text.
 """
 
 import numpy as np
 
+_U = np.uint64
+#: Ranks, group numbers and places of a suffix sort share one 64-bit key up to so many bits each.
+_KEY_BITS = 21
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], keys[1:] != keys[:-1]])
+
+
+def _sorted_runs(major: np.ndarray, minor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of its run) of rows by two numbers below 2**width."""
+    n = len(major)
+    if 3 * width <= 64:
+        w = _U(width)
+        keys = np.sort((((major.astype(_U) << w) | minor.astype(_U)) << w) | np.arange(n, dtype=_U))
+        return (keys & _U((1 << width) - 1)).astype(np.int64), _heads(keys >> w)
+    order = np.lexsort((minor, major))
+    a, b = major[order], minor[order]
+    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+
 
 def suffix_order(tokens: np.ndarray) -> np.ndarray:
     """Order of all suffixes of ``tokens``; every 0 is a separator of its own, smaller than all words.
 
-    Prefix doubling that sorts only what is still tied. Ties end at a separator, so the number of rounds
-    is the logarithm of the longest sequence, however often whole sequences repeat.
+    Prefix doubling that sorts only what is still tied, starting from as many words as fit into one key.
+    Ties end at a separator, so the number of rounds is the logarithm of the longest sequence, however
+    often whole sequences repeat.
     """
     n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64)
+    width = n.bit_length()
     seps = tokens == 0
-    first = np.where(seps, np.cumsum(seps) - 1, tokens.astype(np.int64) + int(seps.sum()))
-    sa = np.argsort(first, kind="stable")
-    rank = np.empty(n + 1, dtype=np.int64)
-    rank[n] = -1
-    start = np.concatenate([[True], np.diff(first[sa]) != 0]) if n else np.zeros(0, bool)
-    rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    k = 1
-    while True:
-        start = np.concatenate([rank[sa[1:]] != rank[sa[:-1]], [True]]) if n else np.zeros(0, bool)
-        tied = np.flatnonzero(~(start & np.concatenate([[True], start[:-1]])))
-        if not len(tied):
-            return sa
+    symbol = np.where(seps, np.cumsum(seps) - 1, tokens.astype(np.int64) + int(seps.sum()))
+    bits = max(int(symbol.max()).bit_length(), 1)
+    k = (64 - width) // bits if width <= _KEY_BITS else 0
+    if k >= 1:
+        padded = np.concatenate([symbol.astype(_U), np.zeros(k, _U)])
+        keys = np.zeros(n, _U)
+        for i in range(k):
+            keys = (keys << _U(bits)) | padded[i : i + n]
+        keys = np.sort((keys << _U(width)) | np.arange(n, dtype=_U))
+        sa, new = (keys & _U((1 << width) - 1)).astype(np.int64), _heads(keys >> _U(width))
+    else:
+        k, sa = 1, np.argsort(symbol, kind="stable")
+        new = _heads(symbol[sa])
+    rank = np.zeros(n + 1, dtype=np.int32 if n < 1 << 31 else np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    while len(tied):
         at = sa[tied]
-        a, b = rank[at], rank[np.minimum(at + k, n)]
-        order = np.lexsort((b, a))
-        at, a, b = at[order], a[order], b[order]
+        group = np.cumsum(_heads(rank[at])) - 1
+        order, new = _sorted_runs(group, rank[np.minimum(at + k, n)], width)
+        at = at[order]
         sa[tied] = at
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        tied = tied[~(new & np.concatenate([new[1:], [True]]))]
         k *= 2
+    return sa
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: one bit plane a level, with counts of ones before each place."""
-
-    def __init__(self, symbols: np.ndarray, sigma: int):
-        self.levels = max(int(sigma).bit_length(), 1)
-        self.ones: list[np.ndarray] = []
-        self.zeros: list[int] = []
-        s = symbols.astype(np.int64)
-        for level in range(self.levels - 1, -1, -1):
-            bit = (s >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(int(len(s) - bit.sum()))
-            s = np.concatenate([s[bit == 0], s[bit == 1]])
+    """Ranks of symbols in a sequence: one bit plane a level, with the ones before each 64-bit word of it."""
+
+    def __init__(self, planes: list[np.ndarray], n: int):
+        self.planes, self.n, self.levels = planes, n, len(planes)
+        counts = [np.bitwise_count(p) for p in planes]
+        self.before = [np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in counts]
+        self.zeros = [n - int(b[-1]) for b in self.before]
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, sigma: int) -> "WaveletMatrix":
+        levels = max(int(sigma).bit_length(), 1)
+        s = symbols.astype(np.uint16 if levels <= 16 else np.uint32)
+        room = (len(s) // 64 + 1) * 8
+        planes = []
+        for level in range(levels - 1, -1, -1):
+            bit = (s >> s.dtype.type(level)) & s.dtype.type(1) == 1
+            packed = np.zeros(room, np.uint8)
+            some = np.packbits(bit, bitorder="little")
+            packed[: len(some)] = some
+            planes.append(packed.view("<u8"))
+            s = np.concatenate([s[~bit], s[bit]])
+        return cls(planes, len(symbols))
+
+    def _ones(self, level: int, place: np.ndarray) -> np.ndarray:
+        word = place >> 6
+        low = (_U(1) << (place & 63).astype(_U)) - _U(1)
+        return self.before[level][word] + np.bitwise_count(self.planes[level][word] & low)
 
     def walk(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros)):
-            r = ones[place]
-            place = np.where((symbol >> (self.levels - 1 - k)) & 1, zeros + r, place - r)
+        for k in range(self.levels):
+            r = self._ones(k, place)
+            place = np.where((symbol >> (self.levels - 1 - k)) & 1, self.zeros[k] + r, place - r)
         return place
 
+    def symbols(self, place: np.ndarray) -> np.ndarray:
+        """What stands at the given places."""
+        out = np.zeros(len(place), np.int64)
+        for k in range(self.levels):
+            bit = (self.planes[k][place >> 6] >> (place & 63).astype(_U)) & _U(1) == 1
+            r = self._ones(k, place)
+            place = np.where(bit, self.zeros[k] + r, place - r)
+            out = out << 1 | bit
+        return out
+
 
 class FMIndex:
-    """Index of one shard. ``tokens``: word numbers 1..sigma, sequences ended by 0."""
+    """Index of one shard, made by ``of`` from word numbers 1..sigma, sequences ended by 0, or opened from ``parts``."""
 
-    def __init__(self, tokens: np.ndarray, sigma: int, sample: int = 8):
-        self.n = len(tokens)
+    def __init__(self, n: int, levels: int, planes: bytes, counts: bytes, kept: bytes, position: bytes):
+        self.n = n
+        words = np.frombuffer(planes, "<u8").reshape(levels, -1)
+        self.tree = WaveletMatrix(list(words), n)
+        self.counts = np.frombuffer(counts, "<u4")
+        self.before = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])[: len(self.counts)]
+        self.kept = WaveletMatrix([np.frombuffer(kept, "<u8")], n)
+        self.position = np.frombuffer(position, "<u4")
+
+    @staticmethod
+    def parts(tokens: np.ndarray, sigma: int, sample: int = 16) -> dict:
+        """The arguments of the constructor: the stored form."""
         sa = suffix_order(tokens)
-        self.bwt = tokens[sa - 1].astype(np.int64) if self.n else np.zeros(0, np.int64)
-        self.tree = WaveletMatrix(self.bwt, sigma)
-        symbols = np.arange(sigma + 1, dtype=np.int64)
-        self.origin = self.tree.walk(symbols, np.zeros(sigma + 1, dtype=np.int64))
-        counts = np.bincount(tokens, minlength=sigma + 1)
-        self.before = np.concatenate([[0], np.cumsum(counts)])[: sigma + 1].astype(np.int64)
+        bwt = tokens[sa - 1] if len(sa) else tokens
+        tree = WaveletMatrix.of(bwt, sigma)
         # positions are kept at every sample-th place and at the start of each sequence, where no word precedes
-        kept = (sa % sample == 0) | (self.bwt == 0)
-        self.kept = kept
-        self.kept_before = np.concatenate([[0], np.cumsum(kept)])
-        self.position = sa[kept]
+        kept = (sa % sample == 0) | (bwt == 0)
+        marks = WaveletMatrix.of(kept, 1)
+        return {
+            "n": len(tokens), "levels": tree.levels, "planes": b"".join(p.tobytes() for p in tree.planes), "counts": np.bincount(tokens, minlength=sigma + 1).astype("<u4").tobytes(),
+            "kept": marks.planes[0].tobytes(), "position": sa[kept].astype("<u4").tobytes(),
+        }
+
+    @classmethod
+    def of(cls, tokens: np.ndarray, sigma: int, sample: int = 16) -> "FMIndex":
+        return cls(**cls.parts(tokens, sigma, sample))
 
-    def _step(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return self.before[symbol] + self.tree.walk(symbol, place) - self.origin[symbol]
+    def _origin(self, symbol: np.ndarray) -> np.ndarray:
+        some, at = np.unique(symbol, return_inverse=True)
+        return (self.before[some] - self.tree.walk(some, np.zeros(len(some), dtype=np.int64)))[at]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all phrases (rows of equal length): the range [lo, hi) of suffixes of each."""
@@ -84,13 +153,13 @@ class FMIndex:
         hi = np.full(len(phrases), self.n, dtype=np.int64)
         live = np.arange(len(phrases))
         for k in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, k]
-            lo[live], hi[live] = self._step(c, lo[live]), self._step(c, hi[live])
-            live = live[lo[live] < hi[live]]
             if not len(live):
                 break
-        hi = np.maximum(hi, lo)
-        return lo, hi
+            c = phrases[live, k]
+            origin = self._origin(c)
+            lo[live], hi[live] = origin + self.tree.walk(c, lo[live]), origin + self.tree.walk(c, hi[live])
+            live = live[lo[live] < hi[live]]
+        return lo, np.maximum(hi, lo)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions in ``tokens`` of the given suffix rows, by steps back to the next kept position."""
@@ -98,9 +167,10 @@ class FMIndex:
         at, steps, live = rows.copy(), 0, np.arange(len(rows))
         while len(live):
             here = at[live]
-            done = self.kept[here]
-            out[live[done]] = self.position[self.kept_before[here[done]]] + steps
+            done = self.kept.symbols(here) == 1
+            out[live[done]] = self.position[self.kept._ones(0, here[done])].astype(np.int64) + steps
             live, here = live[~done], here[~done]
-            at[live] = self._step(self.bwt[here], here)
+            c = self.tree.symbols(here)
+            at[live] = self._origin(c) + self.tree.walk(c, here)
             steps += 1
         return out

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from certloom.llm import bitmaps, glyphs, heavy_hitters, leakage, mixing, queries, seen_keys, topn
+from certloom.llm import bitmaps, fm_index, glyphs, heavy_hitters, leakage, mixing, queries, seen_keys, topn
 from certloom.llm.fm_index import FMIndex
 from certloom.llm.peeling import PeelingFilter
 
@@ -163,7 +163,7 @@ def test_top_n(spark):
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 4), st.integers(1, 4))
 def test_fm_index_equals_scan(tokens, length, sample):
     t = np.array([*tokens, 0])
-    index = FMIndex(t, 3, sample)
+    index = FMIndex.of(t, 3, sample)
     phrases = np.array(np.meshgrid(*[[1, 2, 3]] * length)).T.reshape(-1, length)
     lo, hi = index.search(phrases)
     for p, a, b in zip(phrases, lo, hi):
@@ -249,11 +249,38 @@ def test_leakage(spark):
     assert leakage.leaked_items(dd.limit(0), ii).collect() == [] and leakage.leaked_items(dd, ii.limit(0)).collect() == []
 
 
-def test_leakage_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEM_CHARS", 100)
-    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(15))) for i in range(8)], "item_id bigint, item_text string")
-    docs = items.select(F.col("item_id").alias("doc_id"), F.col("item_text").alias("text"))
-    assert {tuple(x) for x in leakage.leaked_items(docs, items).collect()} == {(i, i) for i in range(8)}
+def test_suffix_order_of_wide_alphabets():
+    r = np.random.default_rng(4)
+    for n, most in ((5000, 3), (5000, 2**31 - 2), (60000, 40000)):
+        t = r.integers(0, most, n)
+        t[-1] = 0
+        t = np.concatenate([t, t])  # every suffix is tied for long
+        key = lambda i: tuple((x, i + k) if x == 0 else (x, 0) for k, x in enumerate(t[i : i + 60].tolist()))
+        some = fm_index.suffix_order(t)
+        assert sorted(some.tolist()) == list(range(len(t)))
+        assert all(key(a) < key(b) for a, b in zip(some[:3000:7], some[1:3001:7]))
+    assert (fm_index._sorted_runs(t, t[::-1], 30)[0] == np.lexsort((t[::-1], t))).all()
+
+
+def test_leakage_index_is_stored_and_holds_every_word(spark, tmp_path, monkeypatch):
+    phrase = lambda tag: " ".join(f"w{tag}x{k}" for k in range(15))
+    texts = [f"some other words {phrase(i)} and more" for i in range(8)] + ["İstanbul " * 12, "istanbul " * 12, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    leakage.build_index(docs, str(tmp_path / "index"), shard_words=40)
+    shards = leakage.open_index(spark, str(tmp_path / "index"))
+    rows = shards.collect()
+    held = sum(int(np.frombuffer(r.counts, "<u4")[1:].sum()) for r in rows)
+    assert held == sum(len(re.findall(r"\w+", t or "")) for t in texts) and len(rows) > 3
+    del docs  # from here on only the index is read
+    items = lambda *tags: spark.createDataFrame([(i, phrase(i)) for i in tags], "item_id bigint, item_text string")
+    assert {tuple(x) for x in leakage.find_items(shards, items(0, 1, 2)).collect()} == {(i, i) for i in range(3)}
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 100)  # several blocks of items
+    assert {tuple(x) for x in leakage.find_items(shards, items(3, 4, 5, 6, 7, 9)).collect()} == {(i, i) for i in range(3, 8)}
+    assert {tuple(x) for x in leakage.find_spans(shards, items(5)).collect()} == {(5, 5, 3, 18, 17, 17 + len(phrase(5)))}
+    assert [tuple(x) for x in leakage.find_items(shards, spark.createDataFrame([(1, "İSTANBUL " * 12)], "item_id bigint, item_text string")).collect()] == [(8, 1)]
+    more = spark.createDataFrame([(20, "x " + phrase(1))], "doc_id bigint, text string")
+    leakage.build_index(more, str(tmp_path / "index"), mode="append")
+    assert {tuple(x) for x in leakage.find_items(leakage.open_index(spark, str(tmp_path / "index")), items(1)).collect()} == {(1, 1), (20, 1)}
 
 
 def test_mixing(spark):
