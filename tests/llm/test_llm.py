@@ -255,22 +255,22 @@ def test_suffix_order_of_wide_alphabets():
         t = r.integers(0, most, n)
         t[-1] = 0
         t = np.concatenate([t, t])  # every suffix is tied for long
-        key = lambda i: tuple((x, i + k) if x == 0 else (x, 0) for k, x in enumerate(t[i : i + 60].tolist()))
+        key = lambda i: tuple((x, i + k) if x == 0 else (x, 0) for k, x in enumerate(t[i:].tolist()))
         some = fm_index.suffix_order(t)
         assert sorted(some.tolist()) == list(range(len(t)))
-        assert all(key(a) < key(b) for a, b in zip(some[:3000:7], some[1:3001:7]))
+        assert all(key(a) < key(b) for a, b in zip(some[:-1:797], some[1::797]))
     assert (fm_index._sorted_runs(t, t[::-1], 30)[0] == np.lexsort((t[::-1], t))).all()
 
 
 def test_leakage_index_is_stored_and_holds_every_word(spark, tmp_path, monkeypatch):
     phrase = lambda tag: " ".join(f"w{tag}x{k}" for k in range(15))
     texts = [f"some other words {phrase(i)} and more" for i in range(8)] + ["İstanbul " * 12, "istanbul " * 12, "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     leakage.build_index(docs, str(tmp_path / "index"), shard_words=40)
     shards = leakage.open_index(spark, str(tmp_path / "index"))
     rows = shards.collect()
     held = sum(int(np.frombuffer(r.counts, "<u4")[1:].sum()) for r in rows)
-    assert held == sum(len(re.findall(r"\w+", t or "")) for t in texts) and len(rows) > 3
+    assert held == sum(len(re.findall(r"\w+", t or "")) for t in texts) and len(rows) > 2
     del docs  # from here on only the index is read
     items = lambda *tags: spark.createDataFrame([(i, phrase(i)) for i in tags], "item_id bigint, item_text string")
     assert {tuple(x) for x in leakage.find_items(shards, items(0, 1, 2)).collect()} == {(i, i) for i in range(3)}
