@@ -30,6 +30,13 @@ class PeelingFilter:
                 if self.seed % 16 == 0:
                     self.third += self.third // 50 + 1
 
+    @classmethod
+    def opened(cls, n: int, third: int, seed: int, bits: int, slots: bytes) -> "PeelingFilter":
+        """A stored filter."""
+        f = cls(np.zeros(0, np.uint64), bits)
+        f.n, f.third, f.seed, f.slots = n, third, seed, np.frombuffer(slots, dtype=f"<u{bits // 8}")
+        return f
+
     def _places(self, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         z = mix(keys, self.seed)
         at = [reduce_to(mix(z, k + 1), self.third).astype(np.int64) + k * self.third for k in range(3)]
