@@ -33,6 +33,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.copies_of(spark, f"{d}/raw_messages.parquet")
 
 
+def p6_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The deduplicated messages; of their columns some flat ones are shown."""
+    kept = dedupe.deduplicated(spark, f"{d}/raw_messages.parquet")
+    leaf = F.col("data.leaf_cert")
+    return kept.select("msg_id", "batch_id", F.col("data.update_type").alias("update_type"), leaf["serial_number"].alias("serial_number"), F.array_size(leaf["all_domains"]).alias("n_hosts"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.positions(table(spark, d, "raw_messages"), table(spark, d, "findings"))
 
@@ -50,7 +57,7 @@ def p7_verdict_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p2_found, p2_source_profile, p2_organisation_profile, p6_found, p7_found, p7_message_hosts, p7_finding_verdicts, p7_verdict_reasons]
+    named = [p2_found, p2_source_profile, p2_organisation_profile, p6_found, p6_messages, p7_found, p7_message_hosts, p7_finding_verdicts, p7_verdict_reasons]
     return {f.__name__: f for f in named}
 
 
@@ -81,14 +88,21 @@ from cert_events where {field} is not null group by 1
 """
 
 
-_P6 = f"""
+_KEPT = f"""
 with k as (
-  select msg_id, data.update_type as u, data.cert_index as c, {_hex("data.leaf_cert.serial_number")} as s, {_hex("data.leaf_cert.fingerprint")} as f
+  select msg_id, batch_id, data, data.update_type as u, data.cert_index as c, {_hex("data.leaf_cert.serial_number")} as s, {_hex("data.leaf_cert.fingerprint")} as f
   from raw_messages where message_type = 'certificate_update'
 ),
-g as (select msg_id, min(msg_id) over (partition by u, c, s, f) as kept_id from k)
-select distinct kept_id, msg_id as copy_id from g where kept_id <> msg_id
+g as (select *, min(msg_id) over (partition by u, c, s, f) as kept_id from k)
 """
+_P6 = _KEPT + "select distinct kept_id, msg_id as copy_id from g where kept_id <> msg_id"
+_P6_MESSAGES = (
+    _KEPT
+    + """
+select msg_id, batch_id, data.update_type as update_type, data.leaf_cert.serial_number as serial_number, cast(len(data.leaf_cert.all_domains) as integer) as n_hosts
+from g where kept_id = msg_id
+"""
+)
 
 _PLACES = """
 with m as (select msg_id, data.leaf_cert.all_domains as a from raw_messages where data is not null),
@@ -119,6 +133,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_source_profile": _profile("source"),
         "p2_organisation_profile": _profile("issuer_organisation"),
         "p6_found": _P6,
+        "p6_messages": _P6_MESSAGES,
         "p7_found": _P7,
         "p7_message_hosts": _PLACES + "select msg_id, cast(p as integer) as host_pos, host from mg",
         "p7_finding_verdicts": _PLACES + "select finding_id, cast(p as integer) as verdict_pos, x.domain as domain, x.matched_watch_target as matched_watch_target, x.score as score from fg",

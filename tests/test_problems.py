@@ -1,5 +1,6 @@
 """Uneven keys, nested records and repeated deliveries: against brute force on small dirty tables."""
 
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import datetime
@@ -77,13 +78,15 @@ def test_deduplication(spark, tmp_path, watermark):
         rows.append((i if i % 50 else i + 1000, "heartbeat" if i % 20 == 7 else "certificate_update", None if i % 90 == 1 else f"2026-01-{1 + i % 28:02} 00:00:00", data, 0))
     df = spark.createDataFrame(rows, MESSAGE.replace("delivered_at timestamp", "delivered_at string")).withColumn("delivered_at", F.to_timestamp("delivered_at"))
     df.repartition(5).write.parquet(str(tmp_path / "m"))
-    got = {tuple(x) for x in dedupe.copies_of(spark, str(tmp_path / "m"), watermark, 2).collect()}
+    got = [tuple(x) for x in dedupe.copies_of(spark, str(tmp_path / "m"), watermark, 2).collect()]
     number = lambda s: None if s is None else s.replace(":", "").upper().lstrip("0")
     groups = defaultdict(list)
     for i, kind, _, d, _ in rows:
         if kind == "certificate_update":
             groups[d[0], d[1], number(d[2][0]), number(d[2][2])].append(i)
-    assert got == {(min(g), x) for g in groups.values() for x in g if x != min(g)}
+    assert len(got) == len(set(got)) and set(got) == {(min(g), x) for g in groups.values() for x in g if x != min(g)}
+    kept = [r.msg_id for r in dedupe.deduplicated(spark, str(tmp_path / "m"), watermark, 2).collect()]
+    assert sorted(kept) == sorted(min(g) for g in groups.values())
 
 
 def test_deduplication_of_nothing_and_restart(spark, tmp_path):
@@ -94,7 +97,62 @@ def test_deduplication_of_nothing_and_restart(spark, tmp_path):
     at, out, ck = str(tmp_path / "m"), str(tmp_path / "out"), str(tmp_path / "ck")
     spark.createDataFrame([row(1, "a"), row(2, "b")], MESSAGE).write.parquet(at)
     for more in ([row(3, "a")], [row(4, "c")]):
-        dedupe.run_to_end(spark, at, empty.schema, out, ck)
+        dedupe.run_to_end(spark, at, empty.schema, out, ck, 4)
         spark.createDataFrame(more, MESSAGE).write.mode("append").parquet(at)
-    dedupe.run_to_end(spark, at, empty.schema, out, ck)
-    assert sorted(r.msg_id for r in spark.read.parquet(out).collect()) == [1, 2, 4]
+    answers = dedupe.run_to_end(spark, at, empty.schema, out, ck, 4)
+    assert sorted(r.msg_id for r in answers.where(F.col("kind") == dedupe.KEPT).collect()) == [1, 2, 4]
+    assert [tuple(r) for r in dedupe.copies(answers).collect()] == [(1, 3)]
+
+
+def _deliveries(spark, tmp_path, times):
+    """One key delivered at the given days, one file each in this order; another key moves the watermark along."""
+    at = str(tmp_path / "m")
+    for i, day in enumerate(times):
+        rows = [(2 * i, "certificate_update", datetime(2026, 1, day), ("u", 1, ("aa", None, "f")), 0), (2 * i + 1, "certificate_update", datetime(2026, 1, day), ("u", 1, (f"{min(day, 4):x}{i if day > 3 else 0}1", None, "f")), 0)]
+        spark.createDataFrame(rows, MESSAGE).coalesce(1).write.parquet(f"{tmp_path}/one{i}")
+        [part] = (tmp_path / f"one{i}").glob("*.parquet")
+        (tmp_path / "m").mkdir(exist_ok=True)
+        part.rename(tmp_path / f"m/{i}.parquet")
+        os.utime(tmp_path / f"m/{i}.parquet", (10**9 + 100 * i, 10**9 + 100 * i))  # files come in the order of their times
+    return at
+
+
+def _run(spark, at, tmp_path, retention="10 days"):
+    return dedupe.run_to_end(spark, at, spark.read.parquet(at).schema, str(tmp_path / "out"), str(tmp_path / "ck"), 4, retention, 1)
+
+
+def test_expired_and_late_deliveries_are_looked_up(spark, tmp_path):
+    # 0 is known for ten days: 2 and 4 find it, 6 is kept again and mended by the lookup; 5 and 9 are too late to be known
+    at = _deliveries(spark, tmp_path, [1, 20, 2, 21, 2])
+    answers = _run(spark, at, tmp_path)
+    kinds = {r.msg_id: r.kind for r in answers.collect()}
+    assert [kinds[i] for i in (0, 2, 4, 6, 8)] == [dedupe.KEPT, dedupe.COPY, dedupe.COPY, dedupe.KEPT, dedupe.COPY]
+    assert kinds[5] == kinds[9] == dedupe.LATE and kinds[7] == dedupe.KEPT
+    assert {tuple(r) for r in dedupe.copies(answers).collect()} == {(0, 2), (0, 4), (0, 6), (0, 8), (5, 9)}
+
+
+def test_a_lost_state_store_is_noticed(spark, tmp_path, monkeypatch):
+    real = dedupe._answer
+    forget = _forgetful(real)
+    monkeypatch.setattr(dedupe, "_answer", forget)
+    monkeypatch.setattr(dedupe, "_decide", _with(dedupe._decide, forget))
+    answers = _run(spark, _deliveries(spark, tmp_path, [1, 2, 3]), tmp_path)
+    with pytest.raises(Exception, match="lost a key"):
+        dedupe.copies(answers).collect()
+
+
+def _forgetful(answer):
+    return lambda held, *more: answer([x[:0] for x in held], *more)
+
+
+def _with(decide, answer):
+    """The bucket's function with another ``_answer``; workers import the module afresh, so it goes along by value."""
+
+    def made(retention_ms):
+        def run(key, frames, state):
+            dedupe._answer = answer
+            return decide(retention_ms)(key, frames, state)
+
+        return run
+
+    return made
