@@ -38,9 +38,10 @@ def p3_heavy_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _host_sets(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "cert_events").select("seen_at", "source", F.explode("domains").alias("host"))
+    events = table(spark, d, "cert_events")
+    hosts = events.select("seen_at", "source", F.explode("domains").alias("host"))
     keys = {"day": F.to_date("seen_at"), "source": label_form(F.col("source"))}
-    return bitmaps.stored_containers(events, host_form(F.col("host")), keys)
+    return bitmaps.stored_containers(hosts, host_form(F.col("host")), keys, bitmaps.buckets_for(events.count()))
 
 
 def p4_distinct_hosts(spark: SparkSession, d: str) -> DataFrame:

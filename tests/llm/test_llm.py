@@ -168,7 +168,9 @@ def test_containers_round_trip(at, width, step):
     bits = np.packbits(on, bitorder="little").tobytes()
     box = bitmaps._pack(bits)
     assert bitmaps._unpack(box) == bits and len(box) <= len(bits) + 1
-    assert bitmaps._and(box, box) == int(on.sum())
+    assert bitmaps._and(box, box) == bitmaps._size(box) == int(on.sum())
+    few = bitmaps._pack(np.packbits(np.arange(bitmaps.CHUNK) % 999 == 0, bitorder='little').tobytes())
+    assert bitmaps._and(box, few) == bitmaps._and(few, box) == int(on[::999].sum())
 
 
 def test_bitmap_counts(spark):
@@ -185,10 +187,36 @@ def test_bitmap_counts(spark):
     assert got == {k: len(v) for k, v in sets.items()}
     both = bitmaps.intersection_counts(boxes.where("day = 'd1'").drop("day"), boxes.where("day = 'd2'").drop("day"), ["grp"])
     assert {x.grp: x.n_items for x in both.collect()} == {g: len(sets["d1", g, 0] & sets["d2", g, 0]) for g in "ABC"}
-    none = bitmaps.containers(df.limit(0), F.col("host"), {"day": F.col("day")})
+    none = bitmaps.stored_containers(df.limit(0), F.col("host"), {"day": F.col("day")}, 3)
+    assert [tuple(x) for x in bitmaps.union_counts(none, [["day"], []], ["day"]).collect()] == [(None, 1, 0)]
     assert bitmaps.union_counts(none, [["day"]], ["day"]).collect() == []
 
 
+def test_bitmaps_merge_over_runs(spark, tmp_path):
+    r = random.Random(7)
+    runs = [[(f"d{k}", r.choice(["A", None]), f"h{r.randint(0, 200 + 300 * k)}") for _ in range(900)] for k in range(3)]
+    keys = {"day": F.col("day"), "grp": F.col("grp")}
+    bitmaps.BitmapStore(spark, str(tmp_path / "s"), 3)
+    for k, rows in [*enumerate(runs), (2, runs[2])]:  # the last run is added again
+        store = bitmaps.BitmapStore(spark, str(tmp_path / "s"))  # opened anew, as by another session
+        assert store.buckets == 3
+        store.add(spark.createDataFrame(rows, "day string, grp string, host string"), F.col("host"), keys, k)
+    numbers = [(x.bucket, x.pos) for x in store.dictionary().collect()]
+    assert len(numbers) == len(set(numbers)) == len({h for rows in runs for *_, h in rows})
+    for b in range(3):
+        assert sorted(p for x, p in numbers if x == b) == list(range(sum(x == b for x, _ in numbers)))  # dense over all runs
+    boxes = store.containers({"day": "string", "grp": "string"})
+    got = {(x.day, x.grp, x.grouping): x.n_items for x in bitmaps.union_counts(boxes, [["day", "grp"], ["grp"], []], ["day", "grp"]).collect()}
+    sets = defaultdict(set)
+    for rows in runs:
+        for d, g, h in rows:
+            for key in ((d, g, 0), (None, g, 2), (None, None, 3)):
+                sets[key].add(h)
+    assert got == {k: len(v) for k, v in sets.items()}
+    both = bitmaps.intersection_counts(*(bitmaps.merged(boxes.where(f"day = 'd{k}'"), ["grp"]) for k in (0, 2)), ["grp"])
+    assert {x.grp: x.n_items for x in both.collect()} == {g: len(sets["d0", g, 0] & sets["d2", g, 0]) for g in ("A", None)}
+
+
 def test_intersections_of_null_groups(spark, tmp_path):
     rows = [("d1", None, "x"), ("d1", None, "y"), ("d2", None, "x"), ("d1", "A", "x"), ("d2", "A", "x"), ("d2", "A", "y"), (None, None, "x"), (None, "A", "x")]
     df = spark.createDataFrame(rows, "day string, grp string, host string")
