@@ -1,9 +1,10 @@
 """Problem 10: one form for text that looks the same but is made of different characters.
 
-Within each Arrow batch, text is exploded to positioned code points (an array), joined by a table take
-with the decomposition and look-alike mappings, combining marks are put in order of their class, composed
-again, and the texts are rebuilt. The mapping tables are built by rule from the Unicode database of the
-running Python, so every worker builds them alike; only the look-alike letters are listed.
+Within each Arrow batch, text is exploded to positioned code points (an array), joined with the broadcast
+decomposition and look-alike mappings, combining marks are put in order of their class, composed again, and
+the texts are rebuilt. The mappings are made on the driver: decompositions by rule from its Unicode
+database, look-alike letters from a table (letter, drawn_like) that callers can replace. Their size is
+bounded by the number of code points (10 MB), whatever the data.
 
 What becomes equal: marks that print nothing (dropped), kinds of blanks (each one plain space; line breaks
 stay), full-width and half-width forms, no-break variants, composed and separate accents in any order,
@@ -21,13 +22,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.llm.codepoints import blocks, explode, implode
 from certloom.session import materialise
 
-#: Letters of Greek and Cyrillic and the letter they are drawn like.
+#: Letters of Greek and Cyrillic and the letter they are drawn like; the default table.
 LOOK_ALIKES = {
     # Greek capitals
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -47,6 +48,9 @@ LOOK_ALIKES = {
 #: Second codes of one sign that have no canonical decomposition.
 SECOND_CODES = {"µ": "μ", "∆": "Δ", "∑": "Σ", "∏": "Π", "Đ": "Ð", "Ɖ": "Ð"}
 
+#: Documents of one form that are joined in one part, about.
+DOCS_A_LIST = 1000
+
 _SIZE = 0x110000
 _BREAKS = frozenset("\n\r\x0b\x0c\x85  ")
 #: Marks that print nothing besides the format characters (category Cf) and controls.
@@ -54,14 +58,14 @@ _UNSEEN = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F
 
 
 class Tables:
-    """Mapping tables over all code points.
+    """Mapping tables over all code points, with the given look-alike letters.
 
     ``start``/``length`` point into ``parts``: the folded full decomposition of each code point.
     ``risky`` marks code points whose texts need the full treatment; a text without any is its own form.
     """
 
-    def __init__(self) -> None:
-        fold: dict[int, str] = {ord(a): b for a, b in (LOOK_ALIKES | SECOND_CODES).items()}
+    def __init__(self, look_alikes: dict[str, str]) -> None:
+        fold: dict[int, str] = {ord(a): b for a, b in (look_alikes | SECOND_CODES).items()}
         self.ccc = np.zeros(_SIZE, dtype=np.uint8)
         changed: dict[int, str] = {}
         pairs: dict[int, int] = {}
@@ -123,17 +127,28 @@ class Tables:
 
 @cache
 def tables() -> Tables:
-    return Tables()
+    """The mappings with the default look-alike letters."""
+    return Tables(LOOK_ALIKES)
+
 
+def shared_tables(spark: SparkSession, look_alikes: DataFrame | None = None):
+    """The broadcast mappings. ``look_alikes``: (letter, drawn_like), single characters, each letter once."""
+    if look_alikes is None:
+        return spark.sparkContext.broadcast(tables())
+    pairs = look_alikes.select("letter", "drawn_like").where("letter is not null and drawn_like is not null").distinct().limit(_SIZE + 1).collect()
+    given = {r.letter: r.drawn_like for r in pairs}
+    if len(given) != len(pairs) or any(len(a) != 1 or len(b) != 1 for a, b in given.items()):
+        raise ValueError("look-alike letters must be single characters, each with one letter it is drawn like")
+    return spark.sparkContext.broadcast(Tables(given))
 
-def canonical(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def canonical(cps: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """The one form of all texts of a block, again as (code points, bounds)."""
-    return canonical_places(cps, bounds)[:2]
+    return canonical_places(cps, bounds, t)[:2]
 
 
-def canonical_places(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def canonical_places(cps: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Also the place in ``cps`` that each code point of the form came from; None where nothing changed."""
-    t = tables()
     risky = t.risky[cps]
     if not risky.any():
         return cps, bounds, None
@@ -217,64 +232,79 @@ def _compose(out: np.ndarray, doc: np.ndarray, ccc: np.ndarray, t: Tables) -> np
     return alive
 
 
-def canonical_texts(texts: pa.Array) -> list[str | None]:
+def canonical_texts(texts: pa.Array, t: Tables) -> list[str | None]:
     """The one form of each text of an array; null stays null."""
     out: list[str | None] = []
     for a, b in blocks(texts):
         part = texts.slice(a, b - a)
-        out += [s if ok else None for s, ok in zip(implode(*canonical(*explode(part))), part.is_valid().to_pylist())]
+        out += [s if ok else None for s, ok in zip(implode(*canonical(*explode(part), t)), part.is_valid().to_pylist())]
     return out
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(canonical_texts(b.column(1)), pa.string())], names=["doc_id", "form"])
+def _forms(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(canonical_texts(b.column(1), shared.value), pa.string())], names=["doc_id", "form"])
+
+    return run
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(shared):
     digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
-    for b in batches:
-        form, raw = [], []
-        texts = b.column(1)
-        for lo, hi in blocks(texts):
-            cps, bounds = explode(texts.slice(lo, hi - lo))
-            new, new_bounds = canonical(cps, bounds)
-            raw += [digest(cps[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:])]
-            form += raw[lo:] if new is cps else [digest(new[x:y].tobytes()) for x, y in zip(new_bounds[:-1], new_bounds[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(form, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "form_key", "text_key"])
-
-
-def visual_form(docs: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            form, raw = [], []
+            texts = b.column(1)
+            for lo, hi in blocks(texts):
+                cps, bounds = explode(texts.slice(lo, hi - lo))
+                new, new_bounds = canonical(cps, bounds, shared.value)
+                raw += [digest(cps[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:])]
+                form += raw[lo:] if new is cps else [digest(new[x:y].tobytes()) for x, y in zip(new_bounds[:-1], new_bounds[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(form, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "form_key", "text_key"])
+
+    return run
+
+
+def visual_form(docs: DataFrame, look_alikes: DataFrame | None = None) -> DataFrame:
     """(doc_id, form): every text in its one form, ready for any comparison."""
-    return docs.select("doc_id", "text").where("text is not null").mapInArrow(_forms, "doc_id bigint, form string")
+    shared = shared_tables(docs.sparkSession, look_alikes)
+    return docs.select("doc_id", "text").where("text is not null").mapInArrow(_forms(shared), "doc_id bigint, form string")
 
 
-def form_keys(docs: DataFrame) -> DataFrame:
+def form_keys(docs: DataFrame, look_alikes: DataFrame | None = None) -> DataFrame:
     """(doc_id, form_key, text_key): 128-bit digests of the form and of the text as written, as a stored narrow table."""
+    shared = shared_tables(docs.sparkSession, look_alikes)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
-    return materialise(rows.mapInArrow(_prints, "doc_id bigint, form_key binary, text_key binary"), "forms")
+    return materialise(rows.mapInArrow(_prints(shared), "doc_id bigint, form_key binary, text_key binary"), "forms")
 
 
-def visual_classes(docs: DataFrame) -> DataFrame:
+def visual_classes(docs: DataFrame, look_alikes: DataFrame | None = None) -> DataFrame:
     """(doc_id, class_id, n_texts, n_docs): one row per document; class_id is the smallest doc_id of its form.
 
     ``n_texts`` counts the different ways of writing the form.
     """
-    keys = form_keys(docs)
+    keys = form_keys(docs, look_alikes)
     written = keys.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
     classes = written.groupBy("form_key").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     return keys.join(classes, "form_key").select("doc_id", "class_id", "n_texts", "n_docs")
 
 
-def visual_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b): every pair of documents that look the same and are written differently.
+def visual_pairs(docs: DataFrame, look_alikes: DataFrame | None = None) -> DataFrame:
+    """(doc_id_a, doc_id_b): every pair of documents that look the same and are written differently, each once.
 
-    Only documents of forms with at least two writings are joined; exact copies of one writing meet the
-    other writings, never each other.
+    Only documents of forms with at least two writings are joined, as lists of the documents of one writing;
+    lists of one writing never meet. A form that many documents have is split into parts of about
+    ``DOCS_A_LIST`` documents: each list of a part meets the lists of other writings in a task of its own.
     """
-    keys = form_keys(docs)
-    mixed = keys.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("form_key")
-    some = keys.join(mixed, "form_key", "left_semi")
-    a = some.select("form_key", F.col("doc_id").alias("doc_id_a"), F.col("text_key").alias("key_a"))
-    b = some.select("form_key", F.col("doc_id").alias("doc_id_b"), F.col("text_key").alias("key_b"))
-    return a.join(b, "form_key").where("doc_id_a < doc_id_b and key_a <> key_b").select("doc_id_a", "doc_id_b")
+    keys = form_keys(docs, look_alikes)
+    written = keys.groupBy("form_key", "text_key").agg(F.count("*").alias("n_docs"))
+    mixed = written.groupBy("form_key").agg(F.count("*").alias("n_texts"), F.sum("n_docs").alias("n_docs")).where("n_texts > 1")
+    mixed = mixed.select("form_key", F.ceil(F.col("n_docs") / DOCS_A_LIST).cast("int").alias("parts"))
+    some = keys.join(mixed, "form_key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    lists = some.groupBy("form_key", "text_key", "parts", "part").agg(F.collect_set("doc_id").alias("ids"))
+    a = lists.select("form_key", "part", F.col("text_key").alias("key_a"), F.col("ids").alias("ids_a"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    b = lists.select("form_key", every.alias("part"), F.col("text_key").alias("key_b"), F.col("ids").alias("ids_b"))
+    met = a.join(b, ["form_key", "part"]).where("key_a < key_b").select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y"))
+    return met.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from certloom.llm.codepoints import blocks, explode
 from certloom.llm.fm_index import FMIndex
-from certloom.llm.glyphs import canonical_places
+from certloom.llm.glyphs import Tables, canonical_places, shared_tables, tables
 from certloom.llm.mixing64 import mix
 from certloom.session import shared_path
 
@@ -101,8 +101,8 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 class _Shard:
     """Words gathered for one index, with the place each one came from."""
 
-    def __init__(self, places: bool) -> None:
-        self.places = places
+    def __init__(self, places: bool, mappings: Tables) -> None:
+        self.places, self.mappings = places, mappings
         self._clear()
 
     def _clear(self) -> None:
@@ -114,7 +114,7 @@ class _Shard:
         self.n = 0
 
     def add(self, ids: np.ndarray, cps: np.ndarray, bounds: np.ndarray) -> None:
-        form, form_bounds, came = canonical_places(cps, bounds)
+        form, form_bounds, came = canonical_places(cps, bounds, self.mappings)
         start, end, h = words(form, form_bounds)
         per = np.diff(np.searchsorted(start, form_bounds))
         some = per > 0
@@ -154,9 +154,9 @@ class _Shard:
         yield pa.RecordBatch.from_arrays([pa.array([row[name]], kinds[kind]) for name, kind in fields], names=_names(_SHARD))
 
 
-def _index(places: bool, shard_words: int):
+def _index(places: bool, shard_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(places)
+        shard = _Shard(places, shared.value)
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             for lo, hi in blocks(texts):
@@ -174,7 +174,7 @@ def build_index(docs: DataFrame, path: str, mode: str = "overwrite", places: boo
     ``places``: whether to keep the places of the words in the text as written, which only ``find_spans`` needs.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    texts.mapInArrow(_index(places, shard_words), _SHARD).write.mode(mode).option("maxRecordsPerFile", SHARDS_A_FILE).parquet(path)
+    texts.mapInArrow(_index(places, shard_words, shared_tables(docs.sparkSession)), _SHARD).write.mode(mode).option("maxRecordsPerFile", SHARDS_A_FILE).parquet(path)
     return open_index(docs.sparkSession, path)
 
 
@@ -189,7 +189,7 @@ class Phrases:
     def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS):
         self.min_words = min_words
         ids = [i for i, _ in items]
-        form, bounds, _ = canonical_places(*explode(pa.array([t for _, t in items], pa.string())))
+        form, bounds, _ = canonical_places(*explode(pa.array([t for _, t in items], pa.string())), tables())
         start, _, h = words(form, bounds)
         self.vocab, number = np.unique(h, return_inverse=True)
         first = np.searchsorted(start, bounds)

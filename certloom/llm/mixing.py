@@ -1,7 +1,8 @@
 """Problem 9: mixing sources to target weights.
 
-1. Tokens of every text are counted once with a public tokenizer and stored as a narrow table.
-2. Each document gets a hash-random key; equal ranges of the key ("bins") put the documents of a source
+1. Tokens of every text are counted once with a public tokenizer and stored as a narrow table (or another
+   size of the documents is taken, such as their characters).
+2. Each document gets a hash-random key (of MD5, which any engine can compute alike); equal ranges of the key ("bins") put the documents of a source
    in random order without a sort over the whole source.
 3. Token sums per bin are added up over the bins of a source, and a running sum within each bin gives
    every document its exact prefix sum of tokens.
@@ -14,7 +15,8 @@ or has no share (null, 0 or less) takes nothing and does not bound the total; it
 
 Cases: documents with null text or a source not in the targets take no part; sources are compared in lower
 case with blanks trimmed and reduced. Empty texts hold no tokens. Equal keys are ordered by doc_id. No
-share is overrun: the cut leaves out the document that would pass the budget. Empty tables give no rows
+share is overrun: the cut leaves out the document that would pass the budget, and the ones behind it. A
+budget of whole epochs takes every document, empty ones too, just as often. Empty tables give no rows
 (shares: one row a target).
 """
 
@@ -32,8 +34,8 @@ from certloom.session import materialise
 #: A rank file of a public byte-level tokenizer, and the pattern it splits text with.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Equal ranges of the random key; a source's bins are sorted independently.
-BIN_BITS = 12
+#: Equal ranges of the random key of ``KEY_BITS``; a source's bins are sorted independently.
+BIN_BITS, KEY_BITS = 12, 60
 
 
 @cache
@@ -62,11 +64,19 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(_count(tokenizer), "doc_id bigint, source string, n_tokens bigint")
 
 
-def _counted(docs: DataFrame, targets: DataFrame, tokenizer: str) -> tuple[DataFrame, list[Row]]:
+def given_sizes(docs: DataFrame, size: str) -> DataFrame:
+    """(doc_id, source, n_tokens) where column ``size`` of the documents is what is mixed; null and less than 0 count as 0."""
+    n = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("bigint"), label_form(F.col("source")).alias("source"), n.alias("n_tokens"))
+    return rows.where("doc_id is not null and source is not null")
+
+
+def _counted(docs: DataFrame, targets: DataFrame, tokenizer: str, size: str | None) -> tuple[DataFrame, list[Row]]:
     """The stored counts of the targets' documents, and the targets with the tokens they have."""
     wanted = targets.select(label_form(F.col("source")).alias("source"), "target_share", "max_repeats")
     names = [r.source for r in wanted.where("source is not null").select("source").distinct().collect()]  # the settings: as many rows as sources
-    counted = materialise(token_counts(docs.where(label_form(F.col("source")).isin(names)) if names else docs.limit(0), tokenizer), "tokens")
+    known = docs.where(label_form(F.col("source")).isin(names)) if names else docs.limit(0)
+    counted = materialise(token_counts(known, tokenizer) if size is None else given_sizes(known, size), "tokens")
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     return counted, wanted.join(sums, "source", "left").fillna({"available_tokens": 0}).orderBy("source").collect()
 
@@ -94,26 +104,31 @@ _BUDGET = "source string, target_share double, max_repeats int, available_tokens
 
 def _repeats(counted: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     """Adds how often each document is taken: whole epochs and, by its prefix sum, one more."""
-    keyed = counted.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bin", F.shiftrightunsigned("key", 64 - BIN_BITS))
+    digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    key = F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("bigint")
+    keyed = counted.withColumn("key", key).withColumn("bin", F.shiftright("key", KEY_BITS - BIN_BITS))
     sums = keyed.groupBy("source", "bin").agg(F.sum("n_tokens").alias("bin_tokens"))
     before = F.sum("bin_tokens").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_tokens")
     starts = sums.select("source", "bin", before.alias("start")).join(budgets.select("source", "epochs", "rest"), "source")
     within = F.sum("n_tokens").over(Window.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     prefix = keyed.withColumn("within", within).join(starts, ["source", "bin"])
-    return prefix.withColumn("repeats", F.col("epochs") + F.when(F.col("start") + F.col("within") <= F.col("rest"), 1).otherwise(0)).where("repeats > 0")
+    return prefix.withColumn("repeats", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("start") + F.col("within") <= F.col("rest")), 1).otherwise(0)).where("repeats > 0")
+
 
+def mixed_corpus(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0, size: str | None = None) -> DataFrame:
+    """(doc_id, source, epoch, n_tokens): one row for each time a document is taken, epochs from 1.
 
-def mixed_corpus(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0) -> DataFrame:
-    """(doc_id, source, epoch, n_tokens): one row for each time a document is taken, epochs from 1."""
-    counted, plan = _counted(docs, targets, tokenizer)
+    ``size``: a column of the documents to be mixed by instead of tokens; ``n_tokens`` then holds it.
+    """
+    counted, plan = _counted(docs, targets, tokenizer, size)
     budgets = docs.sparkSession.createDataFrame(_budgets(plan, total_tokens), _BUDGET)
     taken = _repeats(counted, budgets, seed)
     return taken.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("epoch"), "n_tokens")
 
 
-def shares_reached(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0) -> DataFrame:
+def shares_reached(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 0, size: str | None = None) -> DataFrame:
     """One row a target: what it has, its budget, what the corpus took, and the share of the corpus reached."""
-    counted, plan = _counted(docs, targets, tokenizer)
+    counted, plan = _counted(docs, targets, tokenizer, size)
     budgets = docs.sparkSession.createDataFrame(_budgets(plan, total_tokens), _BUDGET)
     took = _repeats(counted, budgets, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
     per = budgets.join(took, "source", "left").fillna({"mixed_tokens": 0, "most_repeats": 0})

@@ -34,7 +34,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_heavy_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _frequent(spark, d).select("key_field", "rank", F.col("value").alias("key_value"), "n_exact", "n_estimated")
+    return _frequent(spark, d).select("key_field", "rank", F.col("value").alias("key_value"), "n_exact")
+
+
+def p3_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch's estimates beside the exact counts."""
+    return _frequent(spark, d).select("key_field", F.col("value").alias("key_value"), "n_exact", "n_estimated")
 
 
 def _host_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +91,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_mix_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The same mixture by characters instead of tokens."""
+    mixed = mixing.mixed_corpus(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars")
+    return mixed.select("doc_id", "source", "epoch", F.col("n_tokens").alias("n_chars"))
+
+
+def p9_shares_chars(spark: SparkSession, d: str) -> DataFrame:
+    shares = mixing.shares_reached(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars")
+    share = F.round("share_reached", 9).alias("share_reached")
+    return shares.select("source", "target_share", "max_repeats", F.col("available_tokens").alias("available_chars"), F.col("budget_tokens").alias("budget_chars"), F.col("mixed_tokens").alias("mixed_chars"), share)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.visual_pairs(table(spark, d, "documents"))
 
@@ -100,7 +117,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     named = [
-        p1_found, p1_error_rates, p3_found, p3_heavy_counts, p4_distinct_hosts, p4_returning_hosts, p5_found, p5_top_scores,
-        p8_found, p8_spans, p9_mix, p9_shares, p10_found, p10_classes, p10_forms,
+        p1_found, p1_error_rates, p3_found, p3_heavy_counts, p3_estimates, p4_distinct_hosts, p4_returning_hosts, p5_found, p5_top_scores,
+        p8_found, p8_spans, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_classes, p10_forms,
     ]
     return {f.__name__: f for f in named}

@@ -282,7 +282,7 @@ ODD = "abcAOe ΑοаеіїйёЁΆΩΩKÅµμ̧̣́̈̊ͅ​­﻿⁠ 　 \t\n
 @given(st.lists(st.text(alphabet=ODD, max_size=25) | st.text(max_size=8), max_size=8))
 def test_visual_form_equals_standard_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    assert glyphs.canonical_texts(pa.array([*texts, None], pa.string())) == [*map(folded, texts), None]
+    assert glyphs.canonical_texts(pa.array([*texts, None], pa.string()), glyphs.tables()) == [*map(folded, texts), None]
 
 
 def test_visual_pairs(spark):
@@ -298,6 +298,23 @@ def test_visual_pairs(spark):
     assert glyphs.visual_pairs(df.limit(0)).collect() == []
 
 
+def test_big_forms_are_split(spark, monkeypatch):
+    monkeypatch.setattr(glyphs, "DOCS_A_LIST", 7)
+    texts = ["hot text", "hot\u00a0text", "hоt text"] * 40 + ["cold", "ｃold", "other"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id bigint, text string").repartition(5)
+    got = [tuple(x) for x in glyphs.visual_pairs(df).collect()]
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a != b and folded(a) == folded(b)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 4000
+
+
+def test_look_alike_letters_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "l0l"), (2, "lOl"), (3, "аа"), (4, "aa")], "doc_id bigint, text string")
+    mine = spark.createDataFrame([("0", "O"), ("1", "l"), (None, "x")], "letter string, drawn_like string")
+    assert {tuple(x) for x in glyphs.visual_pairs(df, mine).collect()} == {(1, 2)} and {tuple(x) for x in glyphs.visual_pairs(df).collect()} == {(3, 4)}
+    with pytest.raises(ValueError):
+        glyphs.visual_form(df, spark.createDataFrame([("0", "O"), ("0", "Q")], "letter string, drawn_like string"))
+
+
 def test_leakage(spark):
     r = random.Random(8)
     vocab = ["alpha", "beta", "gamma", "delta", "straße", "d’or", "42", "x₃", "Ωhm"]
@@ -415,3 +432,15 @@ def test_mixing_targets_without_share_or_repeats(spark):
     assert {s for s, x in shares.items() if x.share_reached > 0} == {"big", "small", "once"}
     assert {s: x.mixed_tokens for s, x in shares.items() if x.mixed_tokens} == took
     assert (shares["off"].max_repeats, shares["once"].max_repeats, shares["plain"].target_share, shares["plain"].available_tokens) == (0, 1, None, each)
+
+
+def test_mixing_whole_epochs_keep_the_cap(spark):
+    # 50 empty and 5 short texts of one source, and a budget of exactly two epochs of it
+    docs = [(i, "", "small") for i in range(50)] + [(100 + i, "one two three", "small") for i in range(5)] + [(200 + i, "one two three", "big") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text"))
+    targets = spark.createDataFrame([("small", 0.25, 2), ("big", 0.75, 1)], "source string, target_share double, max_repeats int")
+    for size in (None, "n_chars"):
+        took = Counter(x.doc_id for x in mixing.mixed_corpus(df, targets, size=size).collect())
+        assert {took[i] for i, _, s in docs if s == "small"} == {2} and {took[i] for i, _, s in docs if s == "big"} == {1}
+        shares = {x.source: x for x in mixing.shares_reached(df, targets, size=size).collect()}
+        assert all(abs(x.share_reached - x.target_share) < 1e-9 and x.most_repeats <= x.max_repeats for x in shares.values())
