@@ -153,12 +153,13 @@ def kpis(spark, path: str, top: int) -> str:
 def build_watchlist(spark, seed: str, ranking: str, output: str) -> dict[str, int]:
     """Writes the watchlist file; returns the number of brands by sector. A ranking may be a zip archive."""
     from certloom.operators import watchlist
+    from certloom.session import materialise
 
-    if ranking.endswith(".zip"):
-        ranking = str(watchlist.unpack_ranking(ranking, ranking.removesuffix(".zip") + ".csv"))
-    entries = watchlist.build(yaml.safe_load(Path(seed).read_text(encoding="utf-8")) or {}, watchlist.read_ranking(spark, ranking))
+    ranked = watchlist.read_ranking_archive(spark, ranking) if ranking.endswith(".zip") else watchlist.read_ranking(spark, ranking)
+    entries = materialise(watchlist.build(spark, yaml.safe_load(Path(seed).read_text(encoding="utf-8")) or {}, ranked), "watchlist")
     watchlist.write_yaml(entries, output)
-    return {s: sum(e["sector"] == s for e in entries) for s in watchlist.SECTORS}
+    counts = {r.sector: r.n for r in watchlist.sector_counts(entries).collect()}
+    return {s: counts.get(s, 0) for s in watchlist.SECTORS}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -200,7 +200,7 @@ def wl_sector(spark, d):
 
 
 def wl_candidates(spark, d):
-    return watchlist.candidates(_ranking(spark, d), ["bankredwidget2.co.uk"])
+    return watchlist.candidates(_ranking(spark, d), spark.createDataFrame([("bankredwidget2.co.uk",)], "registrable string"))
 
 
 def wl_dedup(spark, d):

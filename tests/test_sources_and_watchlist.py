@@ -88,15 +88,34 @@ def test_watchlist_builder(spark):
     seed = {"banking": {"us": {" Chase ": ["chase.com"]}, "eu": {"mybank": ["mybank.co.uk"]}}}
     ranking = ["x.mybank.co.uk", "foo-bank.de", "foo-bank.com", "www.foo-bank.de", "banknews.com", "bank.us", "ab.de", "clinicone.ru", "clinicone.fr", "paypalobjects.com", "mybank.de", "foo-bank.fr", "hosting.uk"]
     df = spark.createDataFrame(list(enumerate(ranking, 1)), "rank int, domain string")
-    got = watchlist.build(seed, df)
-    assert [(e["name"], e["sector"], e["region"], e["legitimate_domains"]) for e in got] == [
+    entries = lambda most: watchlist.build(spark, seed, df, most).orderBy("tier", "place", "rank").collect()
+    assert [(e["name"], e["sector"], e["region"], e["legitimate_domains"]) for e in entries(100)] == [
         ("chase", "banking", "us", ["chase.com"]), ("mybank", "banking", "eu", ["mybank.co.uk"]), ("foo-bank", "banking", "eu", ["foo-bank.de"]),
         ("foo-bank-com", "banking", "global", ["foo-bank.com"]), ("bank", "banking", "us", ["bank.us"]), ("clinicone", "health", "eu", ["clinicone.fr"]),
         ("mybank-de", "banking", "eu", ["mybank.de"]), ("foo-bank-fr", "banking", "eu", ["foo-bank.fr"]), ("hosting", "it_services", "eu", ["hosting.uk"]),
     ]
-    assert len(watchlist.build(seed, df, 4)) == 4
+    assert len(entries(4)) == 4
     with pytest.raises(ValueError):
-        watchlist.build(seed, df, 1)
+        watchlist.build(spark, seed, df, 1)
+    with pytest.raises(ValueError, match="twice"):
+        watchlist.core_brands(spark, {"banking": {"us": {"A": ["a.com"]}, "eu": {" a": []}}})
+
+
+def test_names_in_rank_order_equal_one_pass(spark):
+    r = random.Random(11)
+    pieces = ["foo", "bar", "foo-bar", "foo-com", "bar-de", "foo-bar-com", "foo-com-de", "bar-de-com"]
+    rows = {f"{r.choice(pieces)}.{r.choice(['com', 'de', 'com.de', 'de.com'])}": i for i in range(60)}
+    rows = [(rank, d, d.split(".")[0], d, "eu", "banking") for d, rank in rows.items()]
+    held, want = {"bar"}, {}
+    for _, d, label, reg, *_ in sorted(rows):
+        for name in (label, reg.replace(".", "-")):
+            if name not in held:
+                held.add(name)
+                want[d] = name
+                break
+    df = spark.createDataFrame(rows, "rank int, domain string, label string, registrable string, region string, sector string")
+    got = {x.domain: x.name for x in watchlist.with_names(df, spark.createDataFrame([("bar",)], "name string")).collect()}
+    assert got == want and len(want) < len(rows) and any(n == d.replace(".", "-") for d, n in want.items())
 
 
 def test_sector_patterns_equal_their_definition(spark):
