@@ -17,7 +17,7 @@ from certloom.functions.text import host_form
 
 SYSTEM_LIST = "/usr/share/publicsuffix/public_suffix_list.dat"
 JAR_ENTRY = "mozilla/public-suffix-list.txt"
-#: The table of suffix rules and allowlisted names is broadcast; a larger one is refused.
+#: The table of suffix rules and allowlisted names is broadcast; more allowlisted names are joined by shuffle.
 MOST_FACTS = 500_000
 
 
@@ -93,8 +93,6 @@ def name_facts(spark: SparkSession, rules: SuffixRules, allowed: frozenset[str]
                 bits[name] = bits.get(name, 0) | kind
     for name in allowed:
         bits[name] = bits.get(name, 0) | ALLOWED
-    if len(bits) > MOST_FACTS:
-        raise ValueError(f"more than {MOST_FACTS} suffix rules and allowlisted names")
     names = sorted(bits)
     rows = pa.table({"name": pa.array(names, pa.string()), "bits": pa.array([bits[n] for n in names], pa.int32())})
     return spark.createDataFrame(rows), max([1, *(n.count(".") + 1 for n in names)])
@@ -114,12 +112,14 @@ def with_fqdn(df: DataFrame, host: str) -> DataFrame:
 def with_parts(df: DataFrame, rules: SuffixRules, allowed: frozenset[str] = frozenset()) -> DataFrame:
     """Adds suffix, registrable, subdomain, core and is_allowed to rows with ``fqdn`` and ``n_labels``.
 
-    The last one, two, ... labels of a name are looked up in the table of facts by broadcast hash joins
-    (the table is of checked size), so no row is shuffled and no rule is tested one by one. ``core`` is the
+    The last one, two, ... labels of a name, as many as a suffix rule can have, are looked up in the table of
+    facts by broadcast hash joins (the table is of checked size), so no row is shuffled and no rule is tested
+    one by one. Allowlisted names of more labels, or too many of them, are joined apart. ``core`` is the
     registrable name without its suffix: the one label left of it, or empty.
     """
     fqdn, n = F.col("fqdn"), F.col("n_labels")
-    facts, longest = name_facts(df.sparkSession, rules, allowed)
+    shallow = frozenset(a for a in allowed if a.count(".") < rules.longest) if len(allowed) <= MOST_FACTS else frozenset()
+    facts, longest = name_facts(df.sparkSession, rules, shallow)
     at = [F.lit(0)]
     for k in range(1, longest + 1):
         side = F.broadcast(facts.select(F.col("name").alias(f"_name{k}"), F.col("bits").alias(f"_bits{k}")))
@@ -147,6 +147,9 @@ def with_parts(df: DataFrame, rules: SuffixRules, allowed: frozenset[str] = froz
     hit = F.lit(False)
     for k in range(1, longest + 1):
         hit = hit | (at[k].bitwiseAND(ALLOWED) != 0)
+    if rest := allowed - shallow:
+        df, below = _with_below(df, rest)
+        hit = hit | below
     df = df.withColumns({
         "is_allowed": hit,
         "suffix": _labels_from(fqdn, -size),
@@ -154,7 +157,20 @@ def with_parts(df: DataFrame, rules: SuffixRules, allowed: frozenset[str] = froz
         "subdomain": _labels_from(fqdn, F.greatest(above, F.lit(0))),
     })
     df = df.withColumn("core", F.substring_index("registrable", ".", 1))
-    return df.drop(*(f"_{w}{k}" for k in range(1, longest + 1) for w in ("name", "bits")))
+    return df.drop("_below", *(f"_{w}{k}" for k in range(1, longest + 1) for w in ("name", "bits")))
+
+
+def _with_below(df: DataFrame, names: frozenset[str]) -> tuple[DataFrame, Column]:
+    """Adds ``_below``, true for names equal to or below one of ``names``: for names deeper than any suffix rule, or very many.
+
+    Different names are expanded to their last 1, 2, ... labels, as many as some of ``names`` has, and joined with them.
+    """
+    depths = sorted({x.count(".") + 1 for x in names})
+    table = df.sparkSession.createDataFrame(pa.table({"_end": pa.array(sorted(names), pa.string())}))
+    ends = F.array(*(F.when(F.col("n_labels") >= k, last_labels(F.col("fqdn"), k)) for k in depths))
+    seen = df.where(F.col("n_labels") >= depths[0]).select("fqdn", "n_labels").distinct().select("fqdn", F.explode(F.array_compact(ends)).alias("_end"))
+    hits = seen.join(table, "_end", "left_semi").select("fqdn").distinct().withColumn("_below", F.lit(True))
+    return df.join(hits, "fqdn", "left"), F.coalesce("_below", F.lit(False))
 
 
 def with_names(df: DataFrame, host: str, rules: SuffixRules, allowed: frozenset[str] = frozenset()) -> DataFrame:

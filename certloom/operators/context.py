@@ -1,7 +1,7 @@
 """What a detection run knows: brands, allowlist, terms, enabled rules, digit exceptions, suffix rules.
 
-All of it is bounded configuration, held on the driver and put into the plan as literal sets. The size of
-each set is checked: the watchlist is capped by its builder at 10,000 brands.
+All of it is configuration that analysts keep, held on the driver. Sets go into the plan as constants up to
+a checked size and are joined as tables beyond it; the watchlist's builder makes at most 10,000 brands.
 """
 
 import re
@@ -35,8 +35,6 @@ TERMS = {
 #: Platform suffixes below which every name is suppressed.
 SHARED_HOSTING = ("azure-api.net", "meraki.direct")
 
-#: Literal sets beyond this size are refused; a larger watchlist has to be split into several runs.
-MOST_LITERALS = 200_000
 SHORTEST_DIGIT_RUN = 3
 #: What ``str.strip`` drops.
 _BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]"
@@ -52,9 +50,6 @@ class DetectContext:
     suffixes: SuffixRules = field(default_factory=load_rules)
 
     def __post_init__(self) -> None:
-        for name in ("brands", "allowlist", "digit_exceptions"):
-            if len(getattr(self, name)) > MOST_LITERALS:
-                raise ValueError(f"{name} holds more than {MOST_LITERALS} entries; split the watchlist")
         if unknown := (self.rules or frozenset()) - frozenset(RULES):
             raise ValueError(f"unknown rules: {sorted(unknown)}")
 
@@ -93,21 +88,18 @@ def _context(names: Iterable[str], legit: Iterable[str], terms: dict[str, frozen
 
 
 def context_of_table(watchlist: DataFrame, tiers: Iterable[str] | None = None, **more) -> DetectContext:
-    """From a watchlist table (name, tier, legitimate_domains). Names and domains are made distinct, and their numbers checked, before they are read."""
+    """From a watchlist table (name, tier, legitimate_domains). Names and domains are made distinct before they are read."""
     rows = watchlist.where("name is not null")
     if tiers is not None:
         rows = rows.where(rows.tier.isin(list(tiers)))
-    names = _distinct(rows.select(F.lower(F.regexp_replace("name", f"^{_BLANK}+|{_BLANK}+$", "")).alias("x")), "brands")
-    legit = _distinct(rows.select(F.explode("legitimate_domains").alias("x")).where("x is not null"), "legitimate domains")
+    names = _distinct(rows.select(F.lower(F.regexp_replace("name", f"^{_BLANK}+|{_BLANK}+$", "")).alias("x")))
+    legit = _distinct(rows.select(F.explode("legitimate_domains").alias("x")).where("x is not null"))
     return _context(names, legit, **more)
 
 
-def _distinct(values: DataFrame, what: str) -> list[str]:
-    """The different values of column ``x``; more than ``MOST_LITERALS`` are an error, never cut."""
-    found = values.distinct().limit(MOST_LITERALS + 1).collect()
-    if len(found) > MOST_LITERALS:
-        raise ValueError(f"the watchlist holds more than {MOST_LITERALS} different {what}; split it")
-    return [r.x for r in found]
+def _distinct(values: DataFrame) -> list[str]:
+    """The different values of column ``x``, all of them."""
+    return [r.x for r in values.distinct().toLocalIterator()]
 
 
 def _yaml(path: str | Path) -> dict:

@@ -3,12 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certloom.functions.psl import with_fqdn, with_names, with_parts
+from certloom.functions.psl import with_fqdn, with_names
 from certloom.operators.context import FAMILY_RULES, DetectContext
-from certloom.operators.rules import family_rule, reasons, typo_cores, with_mixed
+from certloom.operators.rules import SHORTEST_CORE, can_mix, family_rule, mixed_names, reasons, typo_cores, with_large_sets
 from certloom.session import materialise, widen
 
-#: The cores that are near a brand are broadcast up to this many.
+#: Names near a brand and names of mixed scripts are broadcast up to this many, some 20 MB. Beyond, both sides
+#: are shuffled, and hot names are split by adaptive execution.
 BROADCAST_ROWS = 200_000
 
 
@@ -34,17 +35,38 @@ def named_hosts(events: DataFrame, ctx: DetectContext) -> DataFrame:
     return with_names(explode_hosts(events), "domain", ctx.suffixes, ctx.allowlist).where("not is_allowed")
 
 
+def _special_names(events: DataFrame, ctx: DetectContext) -> DataFrame:
+    """(typo, name): labels within the edit limit of a brand, and whole names of mixed scripts, as a stored table.
+
+    Both are looked for among the different labels and odd names of all hosts, before any name is split: the
+    core of a name is one of its labels.
+    """
+    fqdn = F.col("fqdn")
+    names = with_fqdn(explode_hosts(events.select("domains")), "domain")
+    none = F.array().cast("array<struct<typo:boolean,name:string>>")
+    one = lambda typo, name: F.struct(F.lit(typo).alias("typo"), name.alias("name"))
+    typos, mixes = ctx.on("R-03") and bool(ctx.brands), ctx.on("E-01")
+    labels = F.transform(F.filter(F.split(fqdn, r"\."), lambda x: F.length(x) > SHORTEST_CORE), lambda x: one(True, x)) if typos else none
+    odd = F.when(can_mix(fqdn), F.array(one(False, fqdn))).otherwise(none) if mixes else none
+    tried = materialise(names.select(F.explode(F.concat(labels, odd)).alias("n")).select("n.*").distinct(), "names")
+    found = [mixed_names(tried.where("not typo").select(F.col("name").alias("fqdn"))).select(F.lit(False).alias("typo"), F.col("fqdn").alias("name"))] if mixes else []
+    if typos:
+        found.append(typo_cores(tried.where("typo").select(F.col("name").alias("core")), ctx.brands).select(F.lit(True).alias("typo"), F.col("core").alias("name")))
+    return materialise(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "names")
+
+
 def with_rule_inputs(events: DataFrame, ctx: DetectContext) -> DataFrame:
     """``named_hosts`` with ``is_mixed`` and ``is_typo``, the inputs of rules that are no plain expressions."""
-    names = with_fqdn(explode_hosts(events), "domain")
-    names = with_mixed(names) if ctx.on("E-01") else names.withColumn("is_mixed", F.lit(False))
-    names = with_parts(names, ctx.suffixes, ctx.allowlist).where("not is_allowed")
-    if ctx.on("R-03") and ctx.brands:
-        hits = materialise(typo_cores(named_hosts(events.select("domains"), ctx).select("core"), ctx.brands), "typos").withColumn("is_typo", F.lit(True))
-        if hits.count() <= BROADCAST_ROWS:  # from the files' footers; beyond it both sides are shuffled by core
-            hits = F.broadcast(hits)
-        return names.join(hits, "core", "left").withColumn("is_typo", F.coalesce("is_typo", F.lit(False)))
-    return names.withColumn("is_typo", F.lit(False))
+    names = with_large_sets(named_hosts(events, ctx), ctx)
+    typos, mixes = ctx.on("R-03") and bool(ctx.brands), ctx.on("E-01")
+    special = _special_names(events, ctx) if typos or mixes else None
+    few = special is not None and special.count() <= BROADCAST_ROWS  # from the files' footers
+    for flag, wanted, typo, key in (("is_typo", typos, "typo", "core"), ("is_mixed", mixes, "not typo", "fqdn")):
+        if wanted:
+            hits = special.where(typo).select(F.col("name").alias(key), F.lit(True).alias(flag))
+            names = names.join(F.broadcast(hits) if few else hits, key, "left")
+        names = names.withColumn(flag, F.coalesce(flag, F.lit(False)) if wanted else F.lit(False))
+    return names
 
 
 def detect(events: DataFrame, ctx: DetectContext, skip_wildcards: bool = True) -> DataFrame:

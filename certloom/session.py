@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all tasks run on this machine."""
     at = spark.conf.get(CHECKPOINT_CONF, None)
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     return (at or "file://" + os.path.join(tempfile.gettempdir(), "certloom-shared")).rstrip("/")
 
 
+#: Innermost last: the intermediate tables made since ``intermediates`` was entered.
+_made: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that are made within; results must be written or collected before its end."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +72,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     For narrow intermediate rows that are read more than once: a lost executor costs no
     recomputation of the Python stages behind them, and the copy is columnar and compressed,
-    unlike ``checkpoint()``.
+    unlike ``checkpoint()``. ``intermediates`` deletes such tables.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -64,4 +92,4 @@ def widen(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() < slots else df
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

@@ -178,12 +178,36 @@ def test_queries_run_with_all_rules(spark, tmp_path):
     assert {x["rule"]: x.n for x in run("metrics_by_rule_without_e01")} == {"E-02": 2, "L-04": 1, "M-01": 1}
 
 
-def test_watchlist_is_not_cut(spark, monkeypatch):
+def test_watchlist_is_read_whole(spark):
     rows = [(f" Brand{i} " if k else f"BRAND{i}", [f"b{i}.com", None]) for i in range(10) for k in range(5)] + [(None, ["no.com"]), ("brand0", None)]
     table = spark.createDataFrame(rows, "name string, legitimate_domains array<string>")
-    monkeypatch.setattr(contexts, "MOST_LITERALS", 12)  # fewer than the rows, not than the brands
     ctx = contexts.context_of_table(table, suffixes=SUFFIXES)
     assert ctx.brands == {f"brand{i}" for i in range(10)} and ctx.allowlist == {f"b{i}.com" for i in range(10)} | set(contexts.SHARED_HOSTING)
-    monkeypatch.setattr(contexts, "MOST_LITERALS", 9)
-    with pytest.raises(ValueError):
-        contexts.context_of_table(table, suffixes=SUFFIXES)
+
+
+def test_large_sets_are_joined(spark, monkeypatch):
+    # the same cases with all sets joined as tables instead of carried by the plan
+    monkeypatch.setattr(rules, "IN_PLAN", 0)
+    monkeypatch.setattr("certloom.functions.psl.MOST_FACTS", 0)
+    test_referential(spark, False)
+    test_pipeline(spark)
+    ctx = context(only=["M-04"], digits={"365"})
+    assert found(spark, ["office365.com", "office365-92834.net", "x3654.com"], ctx) == [[], [["M-04"]], [["M-04"]]]
+
+
+def test_deep_allowlisted_names(spark):
+    deep = "a.b.c.d.e.f.g.login.com"
+    ctx = context(terms={"L-04": frozenset({"login"})}, allow={deep, "login-ok.com"})
+    assert found(spark, [deep, "x." + deep, "b.c.d.e.f.g.login.com", "login-ok.com", "login-no.com"], ctx) == [[], [], [["L-04", "M-03"]], [], [["L-04"]]]
+
+
+def test_membership_in_constants(spark):
+    import random
+
+    r = random.Random(5)
+    values = {"".join(r.choice("ab\n\x01\x02é") for _ in range(r.randint(0, 6))) for _ in range(300)}
+    tried = sorted(values)[::2] + ["".join(r.choice("ab\n\x01\x02é") for _ in range(r.randint(0, 6))) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(x,) for x in tried], "x string")
+    for some in (values, set(sorted(values)[:5]), {v for v in values if "\x01" not in v and "\x02" not in v}, set()):
+        got = df.select("x", rules._among(F.col("x"), some).alias("y")).collect()
+        assert all(bool(g.y) == (g.x in some) for g in got)
