@@ -1,12 +1,14 @@
-"""Command line: ``python -m certloom.cli watch | kpis | tail | build-watchlist``.
+"""Command line: ``python -m certloom.cli watch | kpis | feed-kpis | tail | build-watchlist``.
 
 For ``watch``, flags win over the configuration file, which wins over defaults.
 """
 
 import argparse
+import hashlib
 import logging
 import sys
 import time
+import uuid
 from dataclasses import dataclass, fields
 from pathlib import Path
 
@@ -15,6 +17,9 @@ import yaml
 log = logging.getLogger("certloom")
 
 CONFIG = "data/config.yml"
+#: Files that analysts edit; their paths are not settings.
+TERMS_FILE = "data/detection_terms.yml"
+SHARED_HOSTING_FILE = "data/shared_hosting_suffixes.yml"
 
 
 @dataclass
@@ -29,6 +34,7 @@ class RunConfig:
     detection: bool = False
     metrics: bool = False
     metrics_interval: float = 10.0
+    seconds: float | None = None
 
 
 def load_config(path: str | Path = CONFIG) -> RunConfig:
@@ -62,6 +68,11 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("skip-wildcards", "detection", "metrics"):
         watch.add_argument(f"--{name}", action=argparse.BooleanOptionalAction, default=None)
     watch.add_argument("--metrics-interval", type=float)
+    watch.add_argument("--seconds", type=float, help="end a live run after this time; a run without end if not given")
+    feed = commands.add_parser("feed-kpis", help="figures of a live feed at fixed times, then stop")
+    feed.add_argument("--certstream-url", default=RunConfig.certstream_url)
+    feed.add_argument("--at", type=lambda s: tuple(map(float, s.split(","))), default=(60.0, 300.0, 600.0), help="seconds, with commas between")
+    feed.add_argument("--top", type=int, default=15)
     return p
 
 
@@ -81,12 +92,23 @@ def detect_context(run: RunConfig):
 
     if not run.detection:
         return None
-    return context.make_context(context.read_watchlist(run.watchlist), rules=context.read_rules(run.rules_config))
+    return context.make_context(
+        context.read_watchlist(run.watchlist), terms=context.read_terms(TERMS_FILE), rules=context.read_rules(run.rules_config),
+        shared=context.read_shared_hosting(SHARED_HOSTING_FILE),
+    )
+
+
+def checkpoint_of(spark, run: RunConfig) -> str:
+    """Where a live run goes on: one place for each feed and output, so that a restart neither loses nor repeats a batch."""
+    from certloom.session import shared_dir
+
+    told = "\n".join(map(str, (run.certstream_url, run.output, run.detection, run.metrics)))
+    return f"{shared_dir(spark)}/watch-{hashlib.sha256(told.encode()).hexdigest()[:16]}"
 
 
 def watch(run: RunConfig, spark=None) -> int:
     """Runs to the end of a replay, or until interrupted; returns how many records came out."""
-    from certloom.session import build_session, shared_path
+    from certloom.session import build_session
     from certloom.sources import live, messages
     from certloom.streaming import detection
 
@@ -100,18 +122,23 @@ def watch(run: RunConfig, spark=None) -> int:
     counted: list[int] = []
     aside: dict[int, int] = {}
     began = time.monotonic()
-    write = detection.batch_writer(run.output, ctx, run.skip_wildcards, figures, counted)
+    checkpoint = None if run.source == "fixtures" else checkpoint_of(spark, run)
+    name = detection.run_name(checkpoint) if checkpoint else uuid.uuid4().hex[:16]  # each replay adds to the output
+    write = detection.batch_writer(run.output, name, ctx, run.skip_wildcards, figures, counted)
     if run.source == "fixtures":
-        write(messages.to_events(messages.read_messages(spark, run.fixtures_path), strict=True), int(time.time() * 1000))
+        write(messages.to_events(messages.read_messages(spark, run.fixtures_path), strict=True), 0)
     else:
         spark.dataSource.register(live.CertFeed)
         frames = spark.readStream.format("certfeed").option("url", run.certstream_url).load()
-        query = messages.parse_frames(frames).writeStream.foreachBatch(detection.message_writer(write, aside)).option("checkpointLocation", shared_path(spark, "watch")).trigger(processingTime="1 second").start()
+        query = messages.parse_frames(frames).writeStream.foreachBatch(detection.message_writer(write, aside)).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
         try:
             last = time.monotonic()
-            while not query.awaitTermination(max(1, int(run.metrics_interval))):
+            while not query.awaitTermination(max(0.01, run.metrics_interval if figures is not None else 1.0)):
+                now = time.monotonic()
+                if run.seconds is not None and now - began >= run.seconds:
+                    query.stop()
+                    break
                 if figures is not None:
-                    now = time.monotonic()
                     print(figures.snapshot(now - began, now - last), _incomplete(aside), sep="\n", file=sys.stderr)
                     last = now
         except KeyboardInterrupt:
@@ -173,7 +200,14 @@ def main(argv: list[str] | None = None) -> None:
     from certloom.streaming import tail
 
     spark = build_session(args.command)
-    if args.command == "kpis":
+    if args.command == "feed-kpis":
+        from certloom.sources import live, messages
+        from certloom.streaming import feed_figures
+
+        spark.dataSource.register(live.CertFeed)
+        frames = spark.readStream.format("certfeed").option("url", args.certstream_url).load()
+        feed_figures.at_landmarks(messages.to_events(messages.parse_frames(frames)), args.at, args.top)
+    elif args.command == "kpis":
         print(kpis(spark, args.path, args.top))
     elif args.command == "tail":
         tail.follow(spark, args.folder, from_start=args.from_start).awaitTermination()

@@ -13,13 +13,13 @@ def per_second(n: Column, span: Column) -> Column:
     return F.when(span > 0, n / span).otherwise(F.lit(0.0))
 
 
-def duration_text(seconds: Column) -> Column:
-    """us below a millisecond, ms below a second, else s."""
-    return (
-        F.when(seconds < 1e-3, F.format_string("%.0fus", seconds * 1e6))
-        .when(seconds < 1, F.format_string("%.1fms", seconds * 1e3))
-        .otherwise(F.format_string("%.2fs", seconds))
-    )
+def duration_text(seconds: float | None) -> str:
+    """us below a millisecond, ms below a second, else s; unknown is a dash."""
+    if seconds is None:
+        return "-"
+    if seconds < 1e-3:
+        return f"{seconds * 1e6:.0f}us"
+    return f"{seconds * 1e3:.1f}ms" if seconds < 1 else f"{seconds:.2f}s"
 
 
 def feed_totals(events: DataFrame) -> DataFrame:
@@ -81,17 +81,22 @@ def interval_deltas(events: DataFrame, time: str, width: str) -> DataFrame:
     return by.select(F.col("w.start").alias("start"), "n_domains").withColumn("n_so_far", so_far)
 
 
-def snapshot(totals: dict, by_family: list[tuple[str, int]], by_rule: list[tuple[str, int]], elapsed: float, window: float, window_domains: int) -> str:
-    """A block of text with the figures of a run; lists are in the order of their counts."""
+def snapshot(totals: dict, by_family: list[tuple[str, int]], by_rule: list[tuple[str, int]], elapsed: float, window: float, window_domains: int, analysis: tuple[float, float | None, float | None] = (0.0, None, None)) -> str:
+    """A block of text with the figures of a run; lists are in the order of their counts.
+
+    ``analysis``: seconds of analysis, and the shortest and longest a certificate.
+    """
     rate = lambda n, s: n / s if s > 0 else 0.0
     certs, domains, reasons = totals["n_certs"], totals["n_domains"], totals["n_reasons"]
     percent = lambda n: 100 * n / reasons if reasons else 0.0
     lines = [
         f"== detection after {elapsed:.0f} s",
-        f"certificates {certs} ({rate(certs, elapsed):.1f} a second)",
-        f"hosts {domains} ({rate(domains, elapsed):.1f} a second; last {window:.0f} s: {window_domains}, {rate(window_domains, window):.1f} a second)",
+        f"certificates {certs} ({rate(certs, elapsed):.1f} a second, {60 * rate(certs, elapsed):.0f} a minute)",
+        f"hosts {domains} ({rate(domains, elapsed):.1f} a second, {60 * rate(domains, elapsed):.0f} a minute; last {window:.0f} s: {window_domains}, {rate(window_domains, window):.1f} a second)",
         f"reasons {reasons} ({60 * rate(reasons, elapsed):.1f} a minute, {100 * reasons / domains if domains else 0:.2f} % of hosts)",
     ]
+    took, shortest, longest = analysis
+    lines.append(f"analysis {duration_text(took)} (average a host {duration_text(rate(took, domains))}; a certificate {duration_text(shortest)} to {duration_text(longest)})")
     for title, rows in (("by family", by_family), ("by rule", by_rule)):
         lines += [title, *(f"  {name:<14} {n:>8} {percent(n):5.1f} %" for name, n in rows)]
     return "\n".join(lines)

@@ -33,6 +33,15 @@ class Backoff:
         return now
 
 
+def _lost() -> tuple[type[BaseException], ...]:
+    """What a feed that is closed, idle, refused or answered wrongly raises; the client library's own errors are none of Python's."""
+    try:
+        from websockets.exceptions import WebSocketException
+    except ImportError:
+        return (OSError, TimeoutError, EOFError)
+    return (OSError, TimeoutError, EOFError, WebSocketException)
+
+
 def _websocket(url: str, idle: float):
     """Connects with whichever client library is installed; returns a function that receives one text frame."""
     try:
@@ -46,8 +55,9 @@ def _websocket(url: str, idle: float):
 class Feed:
     """Text frames of a feed, across reconnections. ``connect`` gives a receiving function; both may raise."""
 
-    def __init__(self, url: str, idle: float = IDLE_SECONDS, connect: Callable = _websocket, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, url: str, idle: float = IDLE_SECONDS, connect: Callable = _websocket, sleep: Callable[[float], None] = time.sleep, lost: tuple[type[BaseException], ...] | None = None):
         self.url, self.idle, self.connect, self.sleep = url, idle, connect, sleep
+        self.lost = _lost() if lost is None else lost
         self.backoff = Backoff()
         self.receive: Callable[[], str] | None = None
 
@@ -60,7 +70,7 @@ class Feed:
                     self.receive = self.connect(self.url, self.idle)
                     self.backoff.reset()
                 frame = self.receive()
-            except (OSError, TimeoutError, EOFError) as e:  # closed, idle or refused
+            except self.lost as e:
                 pause = self.backoff.next()
                 log.warning("feed lost (%s); next attempt in %.0f s", e, pause)
                 self.receive = None

@@ -134,8 +134,7 @@ def test_records_and_metrics(spark):
     total = kpis.detection_totals(events, hits).first()
     assert (total.n_certs, total.n_domains, total.n_hosts_found, total.n_reasons) == (4, 5, 2, 3)
     assert {r.family: r.n for r in kpis.reasons_by(hits, "family").collect()} == {"lexical": 2, "morphological": 1}
-    spans = spark.createDataFrame([(2e-6,), (0.004,), (3.5,)], "s double").select(kpis.duration_text(F.col("s")).alias("t"))
-    assert [r.t for r in spans.collect()] == ["2us", "4.0ms", "3.50s"]
+    assert [kpis.duration_text(s) for s in (2e-6, 0.004, 3.5, None)] == ["2us", "4.0ms", "3.50s", "-"]
 
 
 def test_configuration_files(tmp_path):

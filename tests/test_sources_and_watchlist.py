@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import zipfile
 
@@ -9,7 +10,7 @@ from certloom import cli
 from certloom.operators import watchlist
 from certloom.operators.context import make_context, read_watchlist
 from certloom.sources import live, messages
-from certloom.streaming import detection, tail
+from certloom.streaming import detection, feed_figures, tail
 from tests.test_detection import SUFFIXES
 
 
@@ -46,8 +47,12 @@ def test_stream_writes_each_batch_once(spark, tmp_path):
     assert [(r.domain, r.rules) for r in rows] == [("login-x.com", ["L-04"])]
 
 
+class ClosedByServer(Exception):
+    """Like the client library's errors, none of Python's own."""
+
+
 def test_live_feed_reconnects_and_drops_malformed_frames():
-    script = iter(["connect", '{"a": 1}', "{bad", OSError("lost"), OSError("refused"), "connect", '{"b": 2}'])
+    script = iter(["connect", '{"a": 1}', "{bad", OSError("lost"), ClosedByServer("refused"), "connect", '{"b": 2}'])
     pauses = []
 
     def receive():
@@ -62,13 +67,69 @@ def test_live_feed_reconnects_and_drops_malformed_frames():
             raise step
         return receive
 
-    feed = live.Feed("ws://x", 1, connect, pauses.append)
+    feed = live.Feed("ws://x", 1, connect, pauses.append, (*live._lost(), ClosedByServer))
     assert list(feed.frames(2, 5)) == ['{"a": 1}', '{"b": 2}']
     assert pauses == [1.0, 2.0] and feed.backoff.pause == 1.0
     back = live.Backoff()
     assert [back.next() for _ in range(8)] == [1, 2, 4, 8, 16, 32, 60, 60]
 
 
+def test_errors_of_the_client_library_are_waited_out(monkeypatch):
+    import sys
+    import types
+
+    module = types.ModuleType("websockets.exceptions")
+    module.WebSocketException = ClosedByServer
+    monkeypatch.setitem(sys.modules, "websockets", types.ModuleType("websockets"))
+    monkeypatch.setitem(sys.modules, "websockets.exceptions", module)
+    assert ClosedByServer in live._lost() and ClosedByServer in live.Feed("ws://x").lost
+
+
+def test_runs_add_to_one_output(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps(message()))
+    ctx = make_context([], suffixes=SUFFIXES)
+    events = messages.to_events(messages.stream_messages(spark, str(tmp_path / "in")))
+    shared = tmp_path / "shared"
+    before = set(shared.glob("*")) if shared.exists() else set()
+    for checkpoint in ("one", "two"):  # two runs from fresh checkpoints
+        detection.start(events, str(tmp_path / "out"), str(tmp_path / checkpoint), ctx).awaitTermination()
+    assert [r.domain for r in spark.read.json(str(tmp_path / "out")).collect()] == ["login-x.com"] * 2
+    assert (set(shared.glob("*")) if shared.exists() else set()) == before
+
+    # two replays by command line add too; a dash is standard output; terms and suffixes are read from the analysts' files
+    run = cli.RunConfig(source="fixtures", detection=True, fixtures_path=str(tmp_path / "f.jsonl"), watchlist="none", rules_config="none", output=str(tmp_path / "o"))
+    (tmp_path / "f.jsonl").write_text(json.dumps(message(all_domains=["login-x.com", "chase.secure-login.data.azure-api.net", "zap-x.com"])) + "\n")
+    monkeypatch.setattr(cli, "TERMS_FILE", str(tmp_path / "t.yml"))
+    monkeypatch.setattr(cli, "SHARED_HOSTING_FILE", str(tmp_path / "s.yml"))
+    assert cli.watch(run, spark) == 0  # no terms file: no terms
+    (tmp_path / "t.yml").write_text("terms:\n  l-01: [zap]\n  l-04: [login]\n")
+    assert cli.watch(run, spark) == 3
+    (tmp_path / "s.yml").write_text("suffixes: [azure-api.net]\n")
+    assert cli.watch(run, spark) == 2
+    assert spark.read.json(str(tmp_path / "o")).count() == 5
+    run.output = "-"
+    assert cli.watch(run, spark) == 2
+    assert '"domain":"zap-x.com"' in capsys.readouterr().out and not (tmp_path / "-").exists()
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    from certloom import session
+
+    with session.intermediates(spark):
+        path = session.materialise(spark.range(3).toDF("x"), "t").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_feed_figures_at_landmarks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("\n".join(json.dumps(message()) for _ in range(3)))
+    shown = []
+    feed_figures.at_landmarks(messages.to_events(messages.stream_messages(spark, str(tmp_path / "in"))), (10.0, 0.0), 5, shown.append)
+    assert len(shown) == 2 and "certificates 0" in shown[0] and "certificates 3" in shown[1] and "hosts 6, 2 different" in shown[1] and "unknown" in shown[1]
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert cli.load_config(tmp_path / "none").detection is False
     (tmp_path / "c.yml").write_text("source: fixtures\ndetection: true\nmetrics_interval: 2.0\n")
