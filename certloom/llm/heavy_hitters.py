@@ -7,6 +7,10 @@ and the merged sketch - a constant number of bytes - is read by the driver, whic
 prefixes to heavy longer ones. A second scan counts the surviving keys exactly. If the exact counts show
 that the cut was too high to be sure of the wanted items, the descent is repeated with a lower cut.
 
+Where counts are so even that many prefixes survive, the descent runs in slices of the key space: each gives
+at most about ``CANDIDATES`` prefixes to one exact scan, and the counts found so far raise the cut of the
+next slices. More scans, but never more memory.
+
 The estimates only choose what is counted; that nothing is missing is proved. No value that the second scan
 left out can occur more often than its shortest prefix has rows left when the values counted below it are
 taken off. Where that is less than the k-th count, the prefix is settled. Below the others longer prefixes
@@ -16,7 +20,7 @@ Cases: null and empty values are no items. Equal counts: the smaller string firs
 than wanted: all of them. Empty tables give no rows. Repeated rows count each time.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ WIDTH = 8192
 ROWS = 5
 #: More candidates than this go to the second scan by a join instead of a literal set.
 LITERALS = 2000
-SURVIVORS = 1 << 20
+#: Candidates of one exact scan, about.
+CANDIDATES = 1 << 20
 #: Prefix length of the proof that no item is missing: at most 2^20 counts a field.
 PROOF_BITS = 20
 #: So many largest counters of a row, those of heavy prefixes, are no noise.
@@ -100,6 +105,7 @@ class Sketch:
     def __init__(self, tables: dict[tuple[int, int], np.ndarray]):
         self.tables = _new_sketch() | tables
         self.total = int(self.tables[0, 0].sum())
+        self._noise: dict[int, float] = {}
 
     def estimate(self, prefix: np.ndarray, level: int) -> np.ndarray:
         if level == 0:
@@ -117,36 +123,69 @@ class Sketch:
         """
         if level == 0:
             return 0.0
+        if level not in self._noise:
+            self._noise[level] = self._noise_of(level)
+        return self._noise[level]
+
+    def _noise_of(self, level: int) -> float:
         rows = [np.sort(np.abs(self.tables[level, r]))[:-HEAVY_COUNTERS].astype(np.float64) for r in range(ROWS)]
         return float(np.median([np.sqrt(np.mean(x * x)) for x in rows]))
 
-    def descend(self, cut: float) -> tuple[int, np.ndarray]:
-        """(level, prefixes): all prefixes whose estimates, with four times the noise, reach ``cut`` so far.
-
-        Where the counts are too even for the sketch, so that more prefixes survive than ``SURVIVORS``,
-        the descent ends on that level and the second scan counts all values below them. A level that does
-        not halve the key space left is not returned: it would only make more prefixes of the same values.
+    def first(self, cut: float) -> np.ndarray:
+        """The shortest prefixes that can hold an item of ``cut`` rows, the fullest last."""
+        count = self.tables[0, 0]
+        some = np.flatnonzero(count >= max(cut, 1))
+        return some[np.argsort(count[some], kind="stable")].astype(np.uint64)
+
+    def _longer(self, prefix: np.ndarray, level: int, cut: float) -> np.ndarray:
+        """The prefixes of ``level`` below the given ones whose estimates, with four times the noise, reach ``cut``."""
+        step = LADDER[level] - LADDER[level - 1]
+        out = [np.zeros(0, np.uint64)]
+        for start in range(0, len(prefix), max(CANDIDATES >> step, 1)):
+            some = prefix[start : start + max(CANDIDATES >> step, 1)]
+            some = ((some[:, None] << _U(step)) | np.arange(1 << step, dtype=np.uint64)).ravel()
+            out.append(some[self.estimate(some, level) + 4 * self.noise(level) >= cut])
+        return np.concatenate(out)
+
+    def descend(self, cut: float, first: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """(level, prefixes) that survive below the shortest prefixes ``first``; None if they are more than a scan takes and can be split.
+
+        The descent ends where the noise alone reaches the cut: from there on no estimate could turn a prefix
+        away, and the exact scan counts what is below. A level that does not halve the key space left is not
+        returned: it would only make more prefixes of the same values.
         """
         cut = max(cut, 1)
-        prefix = np.arange(1 << LADDER[0], dtype=np.uint64)
-        prefix = prefix[self.estimate(prefix, 0) >= cut]
-        kept = 0, prefix
+        prefix, kept = first, (0, first)
         for level in range(1, len(LADDER)):
-            step = LADDER[level] - LADDER[level - 1]
-            if len(prefix) << step > SURVIVORS:
+            if 4 * self.noise(level) >= cut:
                 break
-            prefix = ((prefix[:, None] << _U(step)) | np.arange(1 << step, dtype=np.uint64)).ravel()
-            prefix = prefix[self.estimate(prefix, level) + 4 * self.noise(level) >= cut]
+            prefix = self._longer(prefix, level, cut)
+            if len(prefix) > CANDIDATES and len(first) > 1:
+                return None
             if 2 * len(prefix) <= len(kept[1]) << (LADDER[level] - LADDER[kept[0]]):
                 kept = level, prefix
         return kept
 
+    def slices(self, cut: Callable[[], float]) -> Iterator[tuple[int, np.ndarray]]:
+        """The survivors of the whole key space, a scan's worth at a time; ``cut`` is asked again for each slice."""
+        todo = [self.first(cut())]
+        while todo:
+            first = todo.pop()
+            first = first[self.tables[0, 0][first.astype(np.int64)] >= max(cut(), 1)]
+            got = self.descend(cut(), first)
+            if got is None:
+                todo += [first[: len(first) // 2], first[len(first) // 2 :]]
+            elif len(got[1]):
+                yield got
+
     def first_cut(self, k: int) -> float:
         """A cut below the k-th largest count: halved from the largest prefix until k survivors lie clearly above it."""
         cut = float(self.tables[0, 0].max())
         while cut > 1:
-            level, prefix = self.descend(cut)
-            est = self.estimate(prefix, level)
+            got = self.descend(cut, self.first(cut))
+            if got is None:
+                return cut
+            est = self.estimate(got[1], got[0])
             if len(est) >= k and np.sort(est)[-k] >= cut:
                 return cut
             cut /= 2
@@ -164,18 +203,19 @@ def build_sketches(items: DataFrame) -> dict[int, Sketch]:
 
 
 def _below(items: DataFrame, wanted: dict[int, tuple[int, np.ndarray]], inside: bool = True) -> DataFrame:
-    """The rows of the fields of ``wanted`` whose hash prefix is a candidate, or, if not ``inside``, is none."""
+    """The rows whose hash prefix is a candidate of their field, or, if not ``inside``, all others."""
     spark = items.sparkSession
-    items = items.where(F.col("field").isin(list(wanted)))
+    if inside:
+        items = items.where(F.col("field").isin(list(wanted)))
     prefix = F.lit(None).cast("bigint")
     for f, (level, _) in wanted.items():
         prefix = F.when(F.col("field") == f, F.shiftrightunsigned("h", 64 - LADDER[level])).otherwise(prefix)
     if sum(len(ps) for _, ps in wanted.values()) <= LITERALS:
         hit = F.lit(False)
         for f, (_, ps) in wanted.items():
-            hit = hit | ((F.col("field") == f) & prefix.isin([int(p) for p in ps]))
+            hit = hit | ((F.col("field") == f) & F.coalesce(prefix.isin([int(p) for p in ps]), F.lit(False)))
         return items.where(hit if inside else ~hit)
-    # at most SURVIVORS rows a field
+    # some CANDIDATES rows a field at most
     pairs = pa.table({"field": pa.array(np.concatenate([np.full(len(ps), f) for f, (_, ps) in wanted.items()]), pa.int32()), "prefix": pa.array(np.concatenate([ps.astype(np.int64) for _, ps in wanted.values()]))})
     return items.withColumn("prefix", prefix).join(spark.createDataFrame(pairs), ["field", "prefix"], "left_semi" if inside else "left_anti").drop("prefix")
 
@@ -201,9 +241,11 @@ def _open_prefixes(sketches: dict[int, Sketch], exact: DataFrame, bars: dict[int
     return {f: (0, np.flatnonzero(x >= bars[f]).astype(np.uint64)) for f, x in left.items() if (x >= bars[f]).any()}
 
 
-def _missing(rows: DataFrame, wanted: dict[int, tuple[int, np.ndarray]], still_open: dict[int, tuple[int, np.ndarray]], bars: dict[int, int]) -> DataFrame:
+def _missing(rows: DataFrame, counted: list[dict[int, tuple[int, np.ndarray]]], still_open: dict[int, tuple[int, np.ndarray]], bars: dict[int, int]) -> DataFrame:
     """Exact counts of the values not counted yet that can reach ``bars``: all below open prefixes of ``PROOF_BITS``."""
-    rest = _below(_below(rows, still_open), {f: wanted[f] for f in still_open}, inside=False)
+    rest = _below(rows, still_open)
+    for wanted in counted:
+        rest = _below(rest, wanted, inside=False)
     # field and prefix in one number: the broadcast table, 2^20 rows a field at most, is one of plain longs
     place = F.shiftleft(F.col("field").cast("bigint"), PROOF_BITS).bitwiseOR(F.shiftrightunsigned("h", 64 - PROOF_BITS))
     rest = rest.withColumn("place", place)
@@ -225,19 +267,28 @@ def most_frequent(items: DataFrame, k: dict[int, int]) -> DataFrame:
     open_cuts = {f: sketches[f].first_cut(n) for f, n in k.items() if f in sketches and n > 0}
     out: list[tuple] = []
     while open_cuts:
-        wanted = {f: sketches[f].descend(cut) for f, cut in open_cuts.items()}
-        exact = materialise(_exact(_below(rows, wanted)), "counts")
-        top = _first(exact, {f: k[f] for f in open_cuts})
+        wanted_k = {f: k[f] for f in open_cuts}
+        bars = dict(open_cuts)  # raised to the k-th count as soon as k items of that many rows are counted
+        slices = {f: sketches[f].slices(lambda f=f: bars[f]) for f in open_cuts}
+        counted, exact, top = [], None, {f: [] for f in open_cuts}
+        while wanted := {f: one for f, rest in slices.items() if (one := next(rest, None)) is not None}:
+            some = materialise(_exact(_below(rows, wanted)), "counts")
+            counted.append(wanted)
+            exact = some if exact is None else exact.unionByName(some)
+            for f, found in _first(some, wanted_k).items():
+                top[f] = sorted([*top[f], *found], key=lambda r: (-r.n, r.value))[: k[f]]
+                if len(top[f]) == k[f]:
+                    bars[f] = max(bars[f], top[f][-1].n)
         again: dict[int, float] = {}
         for f, cut in open_cuts.items():
             if cut > 1 and (len(top[f]) < k[f] or top[f][-1].n < cut):
                 again[f] = float(top[f][-1].n) if len(top[f]) == k[f] else max(1.0, cut / 2)
-        bars = {f: top[f][-1].n if len(top[f]) == k[f] else 1 for f in open_cuts if f not in again}
-        if bars and (still_open := _open_prefixes(sketches, exact, bars)):
-            top |= _first(exact.unionByName(_missing(rows, wanted, still_open, bars)), {f: k[f] for f in still_open})
-        for f in bars:
-            for r in top[f]:
+        sure = {f: top[f][-1].n if len(top[f]) == k[f] else 1 for f in open_cuts if f not in again}
+        if sure and exact is not None and (still_open := _open_prefixes(sketches, exact, sure)):
+            top |= _first(exact.unionByName(_missing(rows, counted, still_open, sure)), {f: k[f] for f in still_open})
+        for f in sure:
+            for rank, r in enumerate(top[f], 1):
                 p = np.array([r.h], dtype=np.int64).view(np.uint64) >> _U(64 - LADDER[-1])
-                out.append((f, r.value, r.n, int(sketches[f].estimate(p, len(LADDER) - 1)[0]), r["rank"]))
+                out.append((f, r.value, r.n, int(sketches[f].estimate(p, len(LADDER) - 1)[0]), rank))
         open_cuts = again
     return spark.createDataFrame(out, "field int, value string, n_exact bigint, n_estimated bigint, rank int")

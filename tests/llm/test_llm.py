@@ -150,12 +150,23 @@ def test_heavy_hitters_of_sparse_tables(spark, seed):
     assert [(x.value, x.n_exact) for x in heavy_hitters.most_frequent(df, {0: 10}).orderBy("rank").collect()] == want
 
 
+def test_heavy_hitters_in_slices(spark, monkeypatch):
+    r = random.Random(3)
+    counts = {f"v{i}": r.randint(1000, 1300) for i in range(150)}
+    df = spark.createDataFrame(list(counts.items()), "value string, n int").repartition(4).select(F.lit(0).alias("field"), F.explode(F.array_repeat("value", F.col("n"))).alias("value"))
+    scans, exact = [], heavy_hitters._exact
+    monkeypatch.setattr(heavy_hitters, "CANDIDATES", 16)  # fewer than the values: the key space is searched in slices
+    monkeypatch.setattr(heavy_hitters, "_exact", lambda rows: scans.append(1) or exact(rows))
+    got = [(x.value, x.n_exact) for x in heavy_hitters.most_frequent(df, {0: 10}).orderBy("rank").collect()]
+    assert got == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10] and len(scans) > 2
+
+
 @pytest.mark.parametrize("literals", [heavy_hitters.LITERALS, 0])
 def test_heavy_hitters_do_not_rest_on_estimates(spark, monkeypatch, literals):
     df, want = _repeated(spark, 2)
     descend = heavy_hitters.Sketch.descend
     monkeypatch.setattr(heavy_hitters, "LITERALS", literals)
-    monkeypatch.setattr(heavy_hitters.Sketch, "descend", lambda self, cut: (lambda level, prefix: (level, prefix[::2]))(*descend(self, cut)))  # half of them lost
+    monkeypatch.setattr(heavy_hitters.Sketch, "descend", lambda self, *x: (lambda level, prefix: (level, prefix[::2]))(*descend(self, *x)))  # half of them lost
     assert [(x.value, x.n_exact) for x in heavy_hitters.most_frequent(df, {0: 10}).orderBy("rank").collect()] == want
 
 
