@@ -43,14 +43,19 @@ def salted_aggregate(df: DataFrame, key: str, partial: dict[str, Column], merge:
 
 
 def field_counts(events: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(key_field, key_value, n_rows) of each field, values in their label form, null included."""
-    out = None
-    for f in fields:
-        rows = events.select(label_form(F.col(f)).alias("key_value"), "event_id")
-        one = salted_aggregate(rows, "key_value", {"n": F.count("*")}, {"n_rows": F.sum("n")}, F.col("event_id"))
-        one = one.select(F.lit(f).alias("key_field"), "key_value", "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(key_field, key_value, n_rows) of each field, values in their label form, null included.
+
+    All fields are read in one pass as rows (field=value), after one pass that finds the heavy ones.
+    """
+    key = lambda i, f: F.concat(F.lit(str(i)), F.coalesce(F.concat(F.lit("="), label_form(F.col(f))), F.lit("")))
+    rows = events.select("event_id", F.explode(F.array(*(key(i, f) for i, f in enumerate(fields)))).alias("key"))
+    heavy = heavy_values(rows, "key", SUPPORT / len(fields))
+    counts = salted_aggregate(rows, "key", {"n": F.count("*")}, {"n_rows": F.sum("n")}, F.col("event_id"), heavy)
+    place = F.instr("key", "=")
+    names = F.create_map(*(x for i, f in enumerate(fields) for x in (F.lit(str(i)), F.lit(f))))
+    field = F.when(place > 0, F.substring_index("key", "=", 1)).otherwise(F.col("key"))
+    value = F.when(place > 0, F.expr("substring(key, instr(key, '=') + 1)"))
+    return counts.select(names[field].alias("key_field"), value.alias("key_value"), "n_rows")
 
 
 def frequent_values(events: DataFrame, fields: tuple[str, ...], share: float) -> DataFrame:
