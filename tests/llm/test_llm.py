@@ -158,7 +158,7 @@ def test_heavy_hitters_in_slices(spark, monkeypatch):
     monkeypatch.setattr(heavy_hitters, "CANDIDATES", 16)  # fewer than the values: the key space is searched in slices
     monkeypatch.setattr(heavy_hitters, "_exact", lambda rows: scans.append(1) or exact(rows))
     got = [(x.value, x.n_exact) for x in heavy_hitters.most_frequent(df, {0: 10}).orderBy("rank").collect()]
-    assert got == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10] and len(scans) > 2
+    assert got == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10] and len(scans) > 1
 
 
 @pytest.mark.parametrize("literals", [heavy_hitters.LITERALS, 0])
