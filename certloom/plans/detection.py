@@ -5,10 +5,11 @@ Every query runs over the whole of its tables.
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from certloom.functions.psl import load_rules, tokens, with_names
+from certloom.functions.text import strip_blanks
 from certloom.operators import kpis, rules, watchlist
 from certloom.operators.context import FAMILY_RULES, RULES, DetectContext, context_of_table
 from certloom.operators.detect import detect, detection_records, explode_hosts, named_hosts, raw_records, strip_wildcards, with_rule_inputs
@@ -37,6 +38,28 @@ def _hosts(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return table(spark, d, "cert_events").select("event_id", *more, "domains")
 
 
+#: Names made from each brand of the watchlist, for rules that no host of the small tables meets.
+DERIVED = ("{}-com-x.net", "{}q.com", "{}-login.org", "www-{}.info", "{0}{0}{0}{0}{0}{0}{0}{0}{0}{0}.com")
+
+
+def _with_derived(spark: SparkSession, d: str) -> DataFrame:
+    """All hosts, and names derived from the watchlist: imitations of each brand and hosts below its legitimate domains.
+
+    Derived events have ids -1, -2, ... in the order of the brands' names.
+    """
+    w = table(spark, d, "watchlist").where("name is not null")
+    brand = F.lower(strip_blanks(F.col("name")))
+    number = F.row_number().over(Window.orderBy("name")).cast("bigint")  # a table of a few thousand brands
+    below = F.transform(F.coalesce("legitimate_domains", F.array().cast("array<string>")), lambda x: F.concat(F.lit("shop."), x))
+    made = F.array(*(_filled(t, brand) for t in DERIVED))
+    return _hosts(spark, d).unionByName(w.select((-number).alias("event_id"), F.concat(made, below).alias("domains")))
+
+
+def _filled(template: str, brand: Column) -> Column:
+    parts = template.replace("{0}", "{}").split("{}")
+    return F.concat(F.lit(parts[0]), *(x for p in parts[1:] for x in (brand, F.lit(p))))
+
+
 def src_parse(spark, d):
     events = messages.to_events(table(spark, d, "raw_messages"), "msg_id")
     for c in ("validity_not_before", "validity_not_after"):  # microseconds since the epoch compare alike everywhere
@@ -78,19 +101,19 @@ def tokenize(spark, d):
 
 
 def allowlist_anti(spark, d):
-    return named_hosts(_hosts(spark, d), _context(spark, d)).select("event_id", "pos", "domain")
+    return named_hosts(_with_derived(spark, d), _context(spark, d)).select("event_id", "pos", "domain")
 
 
 def _one_rule(rule: str, spark: SparkSession, d: str) -> DataFrame:
     ctx = _context(spark, d, frozenset({rule}))
-    names = with_rule_inputs(_hosts(spark, d), ctx)
+    names = with_rule_inputs(_with_derived(spark, d), ctx)
     return names.where(rules.predicates(ctx)[rule]).select("event_id", "pos", "domain")
 
 
 def _one_family(family: str, on: frozenset[str], spark: SparkSession, d: str) -> DataFrame:
     """The first matching rule of a family."""
     ctx = _context(spark, d, frozenset(FAMILY_RULES[family]) & on)
-    names = with_rule_inputs(_hosts(spark, d), ctx).withColumn("rule", rules.family_rule(ctx, family))
+    names = with_rule_inputs(_with_derived(spark, d), ctx).withColumn("rule", rules.family_rule(ctx, family))
     return names.where("rule is not null").select("event_id", "pos", "rule")
 
 

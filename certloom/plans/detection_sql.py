@@ -4,7 +4,7 @@ from certloom.functions.psl import load_rules
 from certloom.operators import watchlist as w
 from certloom.operators.context import SHARED_HOSTING, TERMS
 from certloom.operators.rules import TLD_LIKE
-from certloom.plans.detection import LANDMARKS, RANK_TEMPLATES, WATCH_BUDGET
+from certloom.plans.detection import DERIVED, LANDMARKS, RANK_TEMPLATES, WATCH_BUDGET
 
 #: Queries with E-01 have no SQL; their SQL is that of the reduced query beside them, ``..._without_e01``.
 _REDUCED = {
@@ -27,17 +27,30 @@ def _tok(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[.-]+'), lambda t: t <> '')"
 
 
-def _hosts(skip: bool) -> str:
+def _derived() -> str:
+    """The events of ``detection._with_derived`` beside cert_events."""
+    brand = f"lower(regexp_replace(name, {_BLANKS}, '', 'g'))"
+    made = ", ".join("'" + t.replace("{0}", "{}").replace("{}", f"' || {brand} || '") + "'" for t in DERIVED)
+    return f"""(
+  select event_id, source, serial_number, domains from cert_events
+  union all
+  select -row_number() over (order by name), null, null, list_concat([{made}], list_transform(coalesce(legitimate_domains, []), lambda x: 'shop.' || x))
+  from watchlist where name is not null
+)"""
+
+
+def _hosts(skip: bool, events: str = "cert_events") -> str:
     keep = "where domain is not null" + (" and not list_contains(string_split(domain, '.'), '*')" if skip else "")
     return f"""
-raw as (select event_id, source, serial_number, unnest(domains) as domain, generate_subscripts(domains, 1) - 1 as place from cert_events),
+raw as (select event_id, source, serial_number, unnest(domains) as domain, generate_subscripts(domains, 1) - 1 as place from {events}),
 h as (select event_id, source, serial_number, domain, row_number() over (partition by event_id order by place) - 1 as pos from raw {keep})"""
 
 
-def _names(skip: bool = False) -> str:
+def _names(skip: bool = False, events: str = "cert_events", typos: bool = True) -> str:
+    """``typos``: whether R-03 is asked for; else its pairs of names and brands are not compared."""
     r = load_rules()
     return f"""
-with {_hosts(skip)},
+with {_hosts(skip, events)},
 plain as ({_set(r.plain)}), wild as ({_set(r.wild)}), exempt as ({_set(r.exempt)}),
 d as (select distinct domain from h),
 f as (select domain, lower(rtrim(regexp_replace(domain, {_BLANKS}, '', 'g'), '.')) as fqdn from d),
@@ -65,7 +78,7 @@ b as (select distinct lower(regexp_replace(name, {_BLANKS}, '', 'g')) as brand f
 bl as (select list(brand) as brands from b),
 ex as (select distinct unnest(regexp_extract_all(a, '[0-9]+')) as run from legit),
 exl as (select coalesce(list(run), []) as runs from ex where len(run) >= 3),
-cores as (select distinct core from names where len(core) > 3 and core not in (select brand from b)),
+cores as (select distinct core from names where len(core) between 4 and (select max(len(brand)) + 2 from b) and core not in (select brand from b){'' if typos else ' and false'}),
 typo as (
   select distinct core from cores, b
   where abs(len(core) - len(brand)) <= case when len(brand) <= 5 then 1 else 2 end
@@ -179,7 +192,8 @@ from x left join u on x.checkpoint = u.checkpoint group by x.checkpoint
 
 
 def oracle_sql() -> dict[str, str]:
-    all_names, kept = _names(), _names(skip=True)
+    all_names, kept, more = _names(typos=False), _names(skip=True), _names(events=_derived(), typos=False)
+    typos = _names(events=_derived())
     rank = _rank()
     out = {
         "src_parse": _PARSE,
@@ -190,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "psl_suffix": all_names + "select suffix, count(*) as n from h join names using (domain) group by 1",
         "registrable_core": all_names + "select core, count(*) as n from h join names using (domain) group by 1",
         "tokenize": all_names + f"select token, count(*) as n from (select unnest({_tok('fqdn')}) as token from h join names using (domain)) group by 1",
-        "allowlist_anti": all_names + "select event_id, cast(pos as integer) as pos, domain from h join names using (domain) where not is_allowed",
+        "allowlist_anti": more + "select event_id, cast(pos as integer) as pos, domain from h join names using (domain) where not is_allowed",
         "m04_exceptions": "select distinct run from (select unnest(regexp_extract_all(d, '[0-9]+')) as run from (select unnest(legitimate_domains) as d from watchlist)) where len(run) >= 3",
         "detect_without_e01": kept + "select event_id, pos, domain, array_to_string(rs, ',') as rules from found",
         "reinforcement_gate": kept + "select event_id, pos, array_to_string(rs, ',') as rules from found where array_to_string(rs, ',') like '%M-0%'",
@@ -218,9 +232,9 @@ select epoch_us(start) as start, n_domains, cast(sum(n_domains) over (order by s
         "wl_sector_counts": rank + "select sector, count(*) as n from ok group by 1",
     }
     for rule in ("r01", "r02", "r03", "r04", "l01", "l02", "l03", "l04", "e02", "m01", "m02", "m03", "m04"):
-        out[f"rule_{rule}"] = all_names + f"select event_id, cast(pos as integer) as pos, domain from h join p using (domain) where {rule}"
+        out[f"rule_{rule}"] = (typos if rule == "r03" else more) + f"select event_id, cast(pos as integer) as pos, domain from h join p using (domain) where {rule}"
     for family in ("referential", "lexical", "encoding", "morphological"):
-        out[f"family_{family}"] = all_names + f'select event_id, cast(pos as integer) as pos, {family} as "rule" from h join fam using (domain) where {family} is not null'
+        out[f"family_{family}"] = (typos if family == "referential" else more) + f'select event_id, cast(pos as integer) as pos, {family} as "rule" from h join fam using (domain) where {family} is not null'
     no_lists = f"""
 , q as (select names.*, subdomain <> 'www' and list_contains({_tok("core")}, 'www') as l03, len(list_filter(string_split(fqdn, '.'), lambda x: starts_with(x, 'xn--'))) > 0 as e02,
   len(fqdn) - len(replace(fqdn, '-', '')) >= 3 or len(registrable) > 40 or n_labels >= 4 or len(list_filter(regexp_extract_all(fqdn, '\\p{{Nd}}+'), lambda r: len(r) >= 3)) > 0 as weak from names),
